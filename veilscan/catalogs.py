@@ -363,55 +363,55 @@ ENTITY_PARAMETERS = [
     ("IFSC", ["FIN-01"]),
     ("_KW_PASSWORD", ["ONL-02"]),
 ]
-# (parameter, pattern on the lower-cased text, substring every match contains)
+# (parameter, pattern on the lower-cased text, words of which every match contains one)
 TEXT_SIGNALS = [
-    ("KYC-03", r"\bpassport\b", "passport"),
-    ("KYC-04", r"\bvoter\s*id\b", "voter"),
-    ("KYC-04", r"\bepic\b", "epic"),
-    ("KYC-05", r"\bdriving\s*licen[cs]e\b", "driving"),
-    ("ID-03", r"\bphoto(?:graph)?\b", "photo"),
-    ("ID-05", r"\bgender\b", "gender"),
-    ("ID-06", r"\blocation\b", "location"),
-    ("ID-07", r"\b(?:address|residence)\b", "re"),
-    ("ID-08", r"\bnationality\b", "nationality"),
-    ("ID-09", r"\bspouse\b", "spouse"),
-    ("ID-09", r"\bjoint\s*holder\b", "joint"),
-    ("ID-10", r"\b(?:dependent|nominee)\b", "n"),
-    ("ID-11", r"\binsurance\b", "insurance"),
-    ("ID-15", r"\bsignature\b", "signature"),
-    ("ID-17", r"\breligion\b", "religion"),
-    ("ID-18", r"\bcaste\s*category\b", "caste"),
-    ("ID-18", r"\breservation\b", "reservation"),
-    ("ID-20", r"\bcaste\b", "caste"),
-    ("ID-20", r"\bcommunity\s*certificate\b", "community"),
-    ("FIN-04", r"\bcibil\b", "cibil"),
-    ("FIN-04", r"\bcredit\s*score\b", "credit"),
-    ("FIN-05", r"\bstatement\b", "statement"),
-    ("FIN-05", r"\bpassbook\b", "passbook"),
-    ("FIN-09", r"\bsalary\b", "salary"),
-    ("FIN-09", r"\bincome\b", "income"),
-    ("FIN-09", r"\bform\s*16\b", "form"),
-    ("FIN-10", r"\bitr\b", "itr"),
-    ("FIN-10", r"\btax\s*return\b", "tax"),
-    ("FIN-11", r"\bctc\b", "ctc"),
-    ("FIN-11", r"\bgross\s*salary\b", "gross"),
-    ("BIO-01", r"\bfingerprint\b", "fingerprint"),
-    ("BIO-02", r"\bvoice\b.*\bauth\b", "voice"),
-    ("ONL-01", r"\busername\b", "username"),
-    ("ONL-01", r"\buser\s*id\b", "user"),
-    ("ONL-01", r"\blogin\s*id\b", "login"),
-    ("ONL-03", r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b", "."),
-    ("ONL-04", r"\bsession\b", "session"),
-    ("ONL-04", r"\btoken\b", "token"),
-    ("CHD-01", r"\bminor\b", "minor"),
-    ("CHD-01", r"\bchild\s*name\b", "child"),
-    ("CHD-03", r"\bguardian\b", "guardian"),
-    ("CHD-03", r"\bparent\s*name\b", "parent"),
-    ("CHD-04", r"\bdisabilit(?:y|ies)\b", "disabilit"),
-    ("CHD-04", r"\bpwd\b", "pwd"),
-    ("OTH-01", r"\bcall\s*recording\b", "recording"),
-    ("OTH-02", r"\bvideo\s*kyc\b", "kyc"),
-    ("OTH-03", r"\bcctv\b", "cctv"),
+    ("KYC-03", r"\bpassport\b", ["passport"]),
+    ("KYC-04", r"\bvoter\s*id\b", ["voter"]),
+    ("KYC-04", r"\bepic\b", ["epic"]),
+    ("KYC-05", r"\bdriving\s*licen[cs]e\b", ["driving"]),
+    ("ID-03", r"\bphoto(?:graph)?\b", ["photo"]),
+    ("ID-05", r"\bgender\b", ["gender"]),
+    ("ID-06", r"\blocation\b", ["location"]),
+    ("ID-07", r"\b(?:address|residence)\b", ["address", "residence"]),
+    ("ID-08", r"\bnationality\b", ["nationality"]),
+    ("ID-09", r"\bspouse\b", ["spouse"]),
+    ("ID-09", r"\bjoint\s*holder\b", ["joint"]),
+    ("ID-10", r"\b(?:dependent|nominee)\b", ["dependent", "nominee"]),
+    ("ID-11", r"\binsurance\b", ["insurance"]),
+    ("ID-15", r"\bsignature\b", ["signature"]),
+    ("ID-17", r"\breligion\b", ["religion"]),
+    ("ID-18", r"\bcaste\s*category\b", ["caste"]),
+    ("ID-18", r"\breservation\b", ["reservation"]),
+    ("ID-20", r"\bcaste\b", ["caste"]),
+    ("ID-20", r"\bcommunity\s*certificate\b", ["community"]),
+    ("FIN-04", r"\bcibil\b", ["cibil"]),
+    ("FIN-04", r"\bcredit\s*score\b", ["credit"]),
+    ("FIN-05", r"\bstatement\b", ["statement"]),
+    ("FIN-05", r"\bpassbook\b", ["passbook"]),
+    ("FIN-09", r"\bsalary\b", ["salary"]),
+    ("FIN-09", r"\bincome\b", ["income"]),
+    ("FIN-09", r"\bform\s*16\b", ["form"]),
+    ("FIN-10", r"\bitr\b", ["itr"]),
+    ("FIN-10", r"\btax\s*return\b", ["tax"]),
+    ("FIN-11", r"\bctc\b", ["ctc"]),
+    ("FIN-11", r"\bgross\s*salary\b", ["gross"]),
+    ("BIO-01", r"\bfingerprint\b", ["fingerprint"]),
+    ("BIO-02", r"\bvoice\b.*\bauth\b", ["voice"]),
+    ("ONL-01", r"\busername\b", ["username"]),
+    ("ONL-01", r"\buser\s*id\b", ["user"]),
+    ("ONL-01", r"\blogin\s*id\b", ["login"]),
+    ("ONL-03", r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b", []),
+    ("ONL-04", r"\bsession\b", ["session"]),
+    ("ONL-04", r"\btoken\b", ["token"]),
+    ("CHD-01", r"\bminor\b", ["minor"]),
+    ("CHD-01", r"\bchild\s*name\b", ["child"]),
+    ("CHD-03", r"\bguardian\b", ["guardian"]),
+    ("CHD-03", r"\bparent\s*name\b", ["parent"]),
+    ("CHD-04", r"\bdisabilit(?:y|ies)\b", ["disabilit"]),
+    ("CHD-04", r"\bpwd\b", ["pwd"]),
+    ("OTH-01", r"\bcall\s*recording\b", ["recording"]),
+    ("OTH-02", r"\bvideo\s*kyc\b", ["kyc"]),
+    ("OTH-03", r"\bcctv\b", ["cctv"]),
 ]
 PARAMETERS_WITHOUT_SIGNAL = ["ID-12", "ID-16", "ID-19", "CHD-02", "CHD-05"]
 

@@ -33,6 +33,8 @@ def spark_pattern(pattern: str, ignore_case: bool = False, in_line: bool = False
                 # Before a plain word character only the left side needs a look.
                 follows = pattern[i + 2 : i + 4]
                 out.append(WORD_START if follows in (r"\d", r"\w") else BOUNDARY)
+            elif nxt == "S":
+                out.append(f"[^{space}]")
             elif nxt in classes:
                 out.append(classes[nxt] if in_class else f"[{classes[nxt]}]")
             else:

@@ -39,9 +39,48 @@ def lower_fold(text: Column) -> Column:
     return F.lower(F.translate(text, "ſKıİ", "skii"))
 
 
+def keyword_pattern(keywords: list[str]) -> str:
+    """One regex that finds, at every place, the longest keyword starting there.
+
+    Keywords are merged by their common beginnings, so a place is given up after its
+    first letters, however many keywords there are.
+    """
+    tree: dict = {}
+    for keyword in keywords:
+        node = tree
+        for ch in keyword:
+            node = node.setdefault(ch, {})
+        node[""] = {}
+
+    def body(node: dict) -> str:
+        arms = [(ch if ch.isalnum() else "\\" + ch) + body(child) for ch, child in sorted(node.items()) if ch]
+        if not arms:
+            return ""
+        if len(arms) == 1 and "" not in node:
+            return arms[0]
+        return "(?:" + "|".join(arms) + ")" + ("?" if "" in node else "")
+
+    return f"(?=({body(tree)}))"
+
+
 def keyword_hits(text: Column, keywords: list[str]) -> Column:
-    """Keywords contained in lower-cased ``text`` (substring test), in list order."""
-    return F.filter(words(keywords), lambda kw: F.contains(text, kw))
+    """Keywords contained in lower-cased ``text`` (substring test), in list order.
+
+    One pass finds the longest keyword at every place; any other keyword that occurs
+    is the beginning of one of those, so it is enough to look inside them.
+    """
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(keyword_pattern(keywords)), F.lit(1)))
+    listed = words(keywords)
+    return F.element_at(
+        F.transform(
+            F.array(found),
+            lambda longest: F.when(
+                F.size(longest) > 0,
+                F.filter(listed, lambda kw: F.exists(longest, lambda w: w.startswith(kw))),
+            ).otherwise(F.slice(listed, 1, 0)),
+        ),
+        1,
+    )
 
 
 def contains_any(text: Column, keywords: list[str]) -> Column:

@@ -14,9 +14,8 @@ from veilscan.catalogs import (
     STATEMENT_WORDS,
     screen_dim,
 )
-from veilscan.functions.regex import let
 from veilscan.functions.tables import explode_rows
-from veilscan.functions.text import contains_any, keyword_hits, quoted, words
+from veilscan.functions.text import keyword_hits, quoted, words
 
 DOCUMENT_KEYWORDS = list(
     dict.fromkeys(
@@ -42,13 +41,6 @@ def _document_type(any_of, count_of) -> Column:
     )
 
 
-def document_type_column(lower_text: Column) -> Column:
-    """Document type straight from lower-cased text; stops at the first rule that fits."""
-    return _document_type(
-        lambda ws: contains_any(lower_text, ws), lambda ws: F.size(keyword_hits(lower_text, ws))
-    )
-
-
 def document_type_of(hits: Column) -> Column:
     """Document type from the keywords already found in a text."""
     return _document_type(
@@ -58,14 +50,14 @@ def document_type_of(hits: Column) -> Column:
 
 
 def document_type(screens: DataFrame) -> DataFrame:
-    kind = let(F.lower("full_text"), document_type_column)
-    return screens.select("screen_id", kind.alias("document_type"))
+    held = screens.select("screen_id", keyword_hits(F.lower("full_text"), DOCUMENT_KEYWORDS).alias("held"))
+    return held.select("screen_id", document_type_of(F.col("held")).alias("document_type"))
 
 
-def ranked_screen_types(count_of) -> Column:
-    """``array<struct<negative_hits,list_order,screen_type>>`` of the types with a hit, best first.
+def screen_types_of(hits: Column) -> Column:
+    """Screen types with a hit, best first, from the keywords already found in a text.
 
-    ``count_of`` turns a column of keywords into the number of them the screen holds.
+    ``array<struct<negative_hits,list_order,screen_type>>``.
     """
     listed = ", ".join(
         f"struct({order} AS list_order, '{screen_type}' AS screen_type, "
@@ -75,7 +67,7 @@ def ranked_screen_types(count_of) -> Column:
     counts = F.transform(
         F.expr(f"array({listed})"),
         lambda t: F.struct(
-            (-count_of(t["keywords"])).alias("negative_hits"),
+            (-F.size(F.array_intersect(t["keywords"], hits))).alias("negative_hits"),
             t["list_order"].alias("list_order"),
             t["screen_type"].alias("screen_type"),
         ),
@@ -83,19 +75,11 @@ def ranked_screen_types(count_of) -> Column:
     return F.array_sort(F.filter(counts, lambda c: c["negative_hits"] < 0))
 
 
-def screen_types_of(hits: Column) -> Column:
-    """Ranked screen types from the keywords already found in a text."""
-    return ranked_screen_types(lambda ws: F.size(F.filter(ws, lambda w: F.array_contains(hits, w))))
-
-
 def screen_type_hits(screens: DataFrame) -> DataFrame:
     """One row per screen and screen type with a keyword hit."""
-    text = F.lower("full_text")
-    ranked = let(
-        text,
-        lambda low: ranked_screen_types(lambda ws: F.size(F.filter(ws, lambda w: F.contains(low, w)))),
-    )
-    rows = explode_rows(screens.select("screen_id", ranked.alias("ranked")), "ranked", "h", "screen_id")
+    held = screens.select("screen_id", keyword_hits(F.lower("full_text"), SCREEN_KEYWORDS).alias("held"))
+    ranked = held.select("screen_id", screen_types_of(F.col("held")).alias("ranked"))
+    rows = explode_rows(ranked, "ranked", "h", "screen_id")
     return rows.select(
         "screen_id", "h.screen_type", (-F.col("h.negative_hits")).alias("hits"), "h.list_order"
     )

@@ -33,13 +33,14 @@ from veilscan.catalogs import (
 )
 from veilscan.functions.regex import let, matches
 from veilscan.functions.text import keyword_hits, quoted, words
-from veilscan.operators.classify import document_type_column
+from veilscan.operators.classify import DOCUMENT_KEYWORDS, document_type_of
 from veilscan.operators.detectors import (
     MATCH_COLUMNS,
     STAGE_LINE_REF,
     MatchRule,
+    found_spans,
+    found_struct,
     match_rows,
-    pattern_pieces,
     with_guards,
 )
 
@@ -177,31 +178,29 @@ def dated_lines(text: Column) -> Column:
     return F.size(dated)
 
 
-def history_cut(text: Column) -> Column:
-    """A cut whose one hit is the whole text, for statements with three dated lines.
+HISTORY_RULE = MatchRule("TRANSACTION_HISTORY", "", False, 0.85, "Pattern", STAGE_HISTORY)
 
-    Shaped like the entries of ``pattern_pieces``; ``pieces`` is NULL where it fails.
-    """
-    qualifies = let(
-        F.lower(text), lambda low: document_type_column(low).isin(HISTORY_DOCUMENT_TYPES)
-    )
-    enough = F.when(qualifies, dated_lines(text)) >= 3
-    return F.struct(
-        F.lit("TRANSACTION_HISTORY").alias("pii_type"),
-        F.lit(0.85).alias("confidence"),
-        F.lit(False).alias("masked"),
-        F.lit("Pattern").alias("source_rule"),
-        F.lit(STAGE_HISTORY).alias("stage"),
-        F.lit(0).alias("rule"),
-        F.when(enough, F.array(F.lit(""), text, F.lit(""))).alias("pieces"),
-    )
 
+def history_found(text: Column) -> Column:
+    """TRANSACTION_HISTORY over the whole of a statement with at least three dated lines.
+
+    Shaped like the elements of ``found_spans``; NULL for other texts.
+    """
+    held = keyword_hits(F.lower(text), DOCUMENT_KEYWORDS)
+    qualifies = let(held, lambda h: document_type_of(h).isin(HISTORY_DOCUMENT_TYPES))
+    count = F.when((F.col("_digits") >= 1) & qualifies, dated_lines(text))
+
+    def whole(n):
+        span = F.struct(
+            F.lit(0).alias("start"),
+            F.length(text).alias("end"),
+            F.concat(n.cast("string"), F.lit(" transaction rows detected")).alias("value"),
+            F.lit(0).alias("line"),
+            (F.size(F.split(text, "\n", -1)) - 1).alias("last_line"),
+        )
+        return F.when(n >= 3, found_struct(HISTORY_RULE, "spans", F.array(span)))
 
-def named_history(rows: DataFrame) -> DataFrame:
-    """Replace the text of a history match by its row count."""
-    told = F.concat(dated_lines(F.col("value")).cast("string"), F.lit(" transaction rows detected"))
-    history = F.col("ord.stage") == STAGE_HISTORY
-    return rows.withColumn("value", F.when(history, told).otherwise(F.col("value")))
+    return let(count, whole)
 
 
 def clean_context_rows(rows: DataFrame) -> DataFrame:
@@ -230,27 +229,17 @@ def clean_context_rows(rows: DataFrame) -> DataFrame:
     )
 
 
-def cut_screens(
-    screens: DataFrame, rules: list[MatchRule], *keep: str, history: bool = True
-) -> DataFrame:
-    """Screens with their cut texts and context bits per line: the one pass over the text.
+def scan_columns(rules: list[MatchRule], history: bool = True) -> dict[str, Column]:
+    """``found`` (spans of all rules) and ``ctx_bits`` (context bits per line).
 
     Line bits are only worked out for texts with a run of four digits: every rule
-    that asks for them is about such a number.
+    that asks for them is about such a number.  Needs the columns of ``with_guards``.
     """
     text = F.col("full_text")
-    cut = pattern_pieces(rules)
+    found = found_spans(rules)
     if history:
-        dated = F.filter(
-            F.array(history_cut(text)), lambda c: (F.col("_digits") >= 1) & c["pieces"].isNotNull()
-        )
-        cut = F.concat(cut, dated)
-    return with_guards(screens).select(
-        "screen_id",
-        *keep,
-        cut.alias("cut"),
-        F.when(F.col("_digits") >= 4, line_bits(text)).alias("ctx_bits"),
-    )
+        found = F.concat(found, F.array_compact(F.array(history_found(text))))
+    return {"found": found, "ctx_bits": F.when(F.col("_digits") >= 4, line_bits(text))}
 
 
 def with_context_bits(rows: DataFrame) -> DataFrame:
@@ -262,8 +251,9 @@ def with_context_bits(rows: DataFrame) -> DataFrame:
 def text_context(screens: DataFrame, stages: list[int] | None = None) -> DataFrame:
     """Contextual matches found in the text, all kinds or only some stages."""
     rules = [r for r in CONTEXT_RULES if stages is None or r.stage in stages]
-    cut = cut_screens(screens, rules, history=stages is None or STAGE_HISTORY in stages)
-    rows = with_context_bits(named_history(match_rows(cut, "ctx_bits")))
+    columns = scan_columns(rules, stages is None or STAGE_HISTORY in stages)
+    scanned = with_guards(screens).select("screen_id", *[c.alias(n) for n, c in columns.items()])
+    rows = with_context_bits(match_rows(scanned, "ctx_bits"))
     return clean_context_rows(rows).select("screen_id", *MATCH_COLUMNS)
 
 

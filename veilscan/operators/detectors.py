@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilscan.catalogs import DETECTOR_TYPES, DETECTORS, NON_CLAIMING_TYPE
-from veilscan.functions.regex import marked_pieces, piece_spans
+from veilscan.functions.regex import SPAN_ARRAY, marked_pieces, piece_spans
 from veilscan.functions.tables import explode_rows
+from veilscan.functions.text import keyword_hits, words
 
 # What a text must contain before a detector's pattern can match: a run of so many
 # digits, or one of these words.  Only there to skip regex passes.
@@ -29,6 +30,14 @@ NEEDS_WORDS = {
     "_KW_SIGNATURE": ["sign"],
 }
 DIGIT_STEPS = [4, 7, 9]
+# Words that guard a rule here or in operators.context.
+GUARD_WORDS = list(
+    dict.fromkeys(
+        [*[w for ws in NEEDS_WORDS.values() for w in ws], "customer", "cust", "cif", "crn", "upi",
+         "imps", "neft", "rtgs", "txn", "transaction", "ref", "utr", "rrn", "/", "txn id", "ref no",
+         "reference"]
+    )
+)
 
 
 @dataclass(frozen=True)
@@ -52,11 +61,7 @@ class MatchRule:
         """Cheap condition that every matching text meets."""
         guard = F.col("_digits") >= self.digits
         if self.needs:
-            found = [F.contains(F.col("_fold"), F.lit(w)) for w in self.needs]
-            any_found = found[0]
-            for f in found[1:]:
-                any_found = any_found | f
-            guard = guard & any_found
+            guard = guard & F.arrays_overlap("_words", words(list(self.needs)))
         return guard
 
 
@@ -70,47 +75,60 @@ DETECTOR_RULES = [
 
 
 def with_guards(screens: DataFrame) -> DataFrame:
-    """``_fold`` (text in a case-blind form) and ``_digits`` (step of its longest digit run)."""
+    """``_words`` (of ``GUARD_WORDS``, those the text has in any case) and ``_digits`` (step of
+    its longest digit run)."""
     text = F.col("full_text")
     digits = F.when(~text.rlike(r"\p{Nd}"), 0)
     for low, high in zip([1, *DIGIT_STEPS], DIGIT_STEPS):
         digits = digits.when(~text.rlike(rf"\p{{Nd}}{{{high}}}"), low)
     return screens.select(
         "*",
-        F.translate(F.lower(text), "ſı̇", "si").alias("_fold"),
+        keyword_hits(F.translate(F.lower(text), "ſı̇", "si"), GUARD_WORDS).alias("_words"),
         digits.otherwise(DIGIT_STEPS[-1]).alias("_digits"),
     )
 
 
-CUT_TYPE = (
+FOUND_TYPE = (
     "array<struct<pii_type:string,confidence:double,masked:boolean,source_rule:string,"
-    "stage:int,rule:int,pieces:array<string>>>"
+    "stage:int,rule:int,spans:" + SPAN_ARRAY + ">>"
 )
 
 
-def pattern_pieces(rules: list[MatchRule]) -> Column:
-    """Per rule with a hit in the text: what to call the matches, and the cut text.
+def found_struct(rule: MatchRule, name: str, content: Column) -> Column:
+    """What to call a rule's matches, and where they are."""
+    return F.struct(
+        F.lit(rule.pii_type).alias("pii_type"),
+        F.lit(rule.confidence).alias("confidence"),
+        F.lit(rule.masked).alias("masked"),
+        F.lit(rule.source_rule).alias("source_rule"),
+        F.lit(rule.stage).alias("stage"),
+        F.lit(rule.rule).alias("rule"),
+        content.alias(name),
+    )
+
+
+def found_spans(rules: list[MatchRule]) -> Column:
+    """Per rule with a hit in the text: what to call the matches, and their spans.
 
     All patterns run in this one projection, so a text is read once.
     """
+    if not rules:
+        return F.array().cast(FOUND_TYPE)
     cut = [
-        F.struct(
-            F.lit(r.pii_type).alias("pii_type"),
-            F.lit(r.confidence).alias("confidence"),
-            F.lit(r.masked).alias("masked"),
-            F.lit(r.source_rule).alias("source_rule"),
-            F.lit(r.stage).alias("stage"),
-            F.lit(r.rule).alias("rule"),
+        found_struct(
+            r, "pieces",
             marked_pieces(
                 F.col("full_text"), r.pattern, r.ignore_case, group=r.group, in_line=r.in_line,
                 guard=r.guard(),
-            ).alias("pieces"),
+            ),
         )
         for r in rules
     ]
-    if not cut:
-        return F.array().cast(CUT_TYPE)
-    return F.filter(F.array(*cut), lambda c: c["pieces"].isNotNull())
+    kept = F.filter(F.array(*cut), lambda c: c["pieces"].isNotNull())
+    names = ["pii_type", "confidence", "masked", "source_rule", "stage", "rule"]
+    return F.transform(
+        kept, lambda c: F.struct(*[c[n].alias(n) for n in names], piece_spans(c["pieces"]).alias("spans"))
+    )
 
 
 MATCH_COLUMNS = [
@@ -119,17 +137,14 @@ MATCH_COLUMNS = [
 ]
 
 
-def match_rows(cut: DataFrame, *keep: str) -> DataFrame:
-    """Raw matches of texts whose ``cut`` column holds ``pattern_pieces``.
+def match_rows(scanned: DataFrame, *keep: str) -> DataFrame:
+    """Raw matches of texts whose ``found`` column holds ``found_spans``.
 
     ``ord`` places a match among all of its screen: stage, then line and rule where a
     stage goes line by line, then offset.
     """
-    per_rule = explode_rows(cut, "cut", "c", "screen_id", *keep)
-    spans = explode_rows(
-        per_rule.select("screen_id", *keep, "c", piece_spans(F.col("c.pieces")).alias("spans")),
-        "spans", "s", "screen_id", "c", *keep,
-    )
+    per_rule = explode_rows(scanned, "found", "c", "screen_id", *keep)
+    spans = explode_rows(per_rule, "c.spans", "s", "screen_id", "c", *keep)
     by_line = F.col("c.stage") == STAGE_LINE_REF
     return spans.select(
         "screen_id",
@@ -151,7 +166,7 @@ STAGE_LINE_REF = 103
 def detect(screens: DataFrame, pii_type: str) -> DataFrame:
     """All matches of one detector, on its own."""
     rule = DETECTOR_RULES[DETECTOR_TYPES.index(pii_type)]
-    return match_rows(with_guards(screens).select("screen_id", pattern_pieces([rule]).alias("cut")))
+    return match_rows(with_guards(screens).select("screen_id", found_spans([rule]).alias("found")))
 
 
 def overlapping(a: Column, b: Column) -> Column:
@@ -195,5 +210,5 @@ def suppress_overlaps(matches: DataFrame) -> DataFrame:
 def detect_all(screens: DataFrame, types: list[str] | None = None) -> DataFrame:
     """All detectors in priority order with overlaps suppressed."""
     rules = [r for r in DETECTOR_RULES if types is None or r.pii_type in types]
-    cut = with_guards(screens).select("screen_id", pattern_pieces(rules).alias("cut"))
-    return suppress_overlaps(match_rows(cut))
+    scanned = with_guards(screens).select("screen_id", found_spans(rules).alias("found"))
+    return suppress_overlaps(match_rows(scanned))

@@ -19,15 +19,13 @@ from veilscan.functions.tables import explode_rows
 from veilscan.functions.text import compact_value, normalised_value, quoted, strip, words
 from veilscan.operators.context import (
     CONTEXT_RULES,
-    NO_BITS,
     STAGE_BALANCE,
     STAGE_CUSTOMER,
     STAGE_LAYOUT,
     clean_context_rows,
     context_has,
-    cut_screens,
     has_transaction_context,
-    named_history,
+    scan_columns,
     slice_around,
     with_context_bits,
 )
@@ -37,39 +35,53 @@ from veilscan.operators.detectors import (
     MATCH_COLUMNS,
     match_rows,
     suppress_overlaps,
+    with_guards,
 )
+from veilscan.operators.inventory import app_name_columns, fact_columns, with_keywords
 from veilscan.operators.validators import with_aadhaar_validation, with_candidate_confidence
 
 LAYOUT_COLUMNS = ["spatial_confidence", "validation_confidence"]
 RAW_COLUMNS = [*MATCH_COLUMNS, "ctx", "ocr_confidence", "is_layout", *LAYOUT_COLUMNS]
 
 
-def _text_matches(cut: DataFrame) -> DataFrame:
-    """All detector and contextual matches from cut screens, after both clean-ups.
+def scan_text(screens: DataFrame) -> DataFrame:
+    """The one pass over the text: a narrow row per screen with matches and facts.
 
-    One shuffle by screen serves the overlap rule, the clean-up and everything later.
+    ``screens`` may carry ``line_conf`` (per line: sum of block confidences, number of
+    blocks); otherwise a line's confidence is that of its screen.
+    """
+    if "line_conf" not in screens.columns:
+        screens = screens.withColumn(
+            "line_conf", F.lit(None).cast("array<struct<total:double,blocks:int>>")
+        )
+    keep = [c for c in screens.columns if c != "full_text"]
+    columns = {
+        **scan_columns([*DETECTOR_RULES, *CONTEXT_RULES]),
+        "hits": F.col("hits"),
+        **fact_columns(),
+        **app_name_columns(),
+    }
+    guarded = with_keywords(with_guards(screens))
+    return guarded.select(*keep, *[c.alias(n) for n, c in columns.items()])
+
+
+def scanned_matches(scanned: DataFrame, layout: DataFrame | None = None) -> DataFrame:
+    """Raw matches of scanned screens: overlap rule, clean-up of contextual ones, layout.
+
+    One shuffle by screen serves all of it and everything after.
     """
-    rows = with_context_bits(named_history(match_rows(cut, "ctx_bits", "line_conf", "avg_confidence")))
+    rows = with_context_bits(match_rows(scanned, "ctx_bits", "line_conf", "avg_confidence"))
     near = slice_around(F.col("line_conf"), F.col("line"), F.col("last_line"))
     total = F.aggregate(near, F.lit(0.0), lambda a, c: a + c["total"])
     blocks = F.aggregate(near, F.lit(0), lambda a, c: a + c["blocks"])
     measured = F.round(F.coalesce(total / blocks, F.col("avg_confidence")), 4)
     rows = rows.withColumn("ocr_confidence", measured).drop("line_conf", "avg_confidence")
-    return clean_context_rows(suppress_overlaps(rows.repartition("screen_id")))
+    return combine_layout(clean_context_rows(suppress_overlaps(rows.repartition("screen_id"))), layout)
 
 
 def raw_matches(screens: DataFrame, layout: DataFrame | None = None) -> DataFrame:
-    """Every raw match of every screen with its context; one pass over the text.
-
-    ``screens`` may carry ``line_conf`` (per line: sum of block confidences, number of
-    blocks); otherwise a line's confidence is that of its screen.
-    """
-    if "line_conf" not in screens.columns:
-        screens = screens.withColumn(
-            "line_conf", F.lit(None).cast("array<struct<total:double,blocks:int>>")
-        )
-    cut = cut_screens(screens, [*DETECTOR_RULES, *CONTEXT_RULES], "line_conf", "avg_confidence")
-    return combine_layout(_text_matches(cut), layout)
+    """Every raw match of every screen with its context; one pass over the text."""
+    return scanned_matches(scan_text(screens), layout)
 
 
 def combine_layout(found: DataFrame, layout: DataFrame | None) -> DataFrame:

@@ -14,7 +14,6 @@ from veilscan.catalogs import (
     DEFAULT_SOURCE,
     ROPA_APP_DEFAULT,
     ROPA_APP_FOUND,
-    ROPA_APP_PHRASES,
     ROPA_COLUMNS,
     ROPA_CONSENT_WORDS,
     ROPA_DATA_CATEGORIES,
@@ -30,9 +29,14 @@ from veilscan.catalogs import (
     SCREEN_SOURCES,
     ropa_field_dim,
 )
-from veilscan.functions.regex import spark_pattern
-from veilscan.functions.text import keyword_hits, quoted, words
-from veilscan.operators.inventory import PARAMETER_IDS, inventory_rows
+from veilscan.functions.text import quoted, words
+from veilscan.operators.inventory import (
+    APP_NAME_SPLITS,
+    PARAMETER_IDS,
+    app_name_columns,
+    inventory_rows,
+    with_keywords,
+)
 
 ID_ORDER = sorted(PARAMETER_IDS)
 # Screens of one session with ids in the same range of this size form a bucket.
@@ -40,43 +44,10 @@ BUCKET = 65536
 
 
 # -- application name ---------------------------------------------------------
-# Ways a phrase may be split over two screens: (end of one, start of the next).
-SPLITS = [
-    (phrase[:i], phrase[i:]) for phrase in ROPA_APP_PHRASES for i in range(1, len(phrase))
-]
-# A phrase of three words may also have its middle word alone on a screen.
-MIDDLES = [(p[0], p[1], p[2]) for p in ROPA_APP_PHRASES if len(p) == 3]
-
-
-def _phrase(ws: list[str]) -> str:
-    return r"\s+".join(ws)
-
-
 def app_name_facts(screens: DataFrame) -> DataFrame:
     """Per screen: whether it names the application, and which halves of a name it ends or starts with."""
-    text = F.col("full_text")
-    ic = lambda p: spark_pattern(p, True)
-    inside = F.lit(False)
-    for phrase in ROPA_APP_PHRASES:
-        inside = inside | text.rlike(ic(_phrase(phrase)))
-
-    def mask(pattern_of):
-        bits = F.lit(0)
-        for i, split in enumerate(SPLITS):
-            bits = bits.bitwiseOR(F.when(text.rlike(ic(pattern_of(split))), 1 << i).otherwise(0))
-        return bits
-
-    middle = F.lit(False)
-    for _, word, _ in MIDDLES:
-        middle = middle | text.rlike(ic(rf"\A\s*{word}\s*\z".replace("\\s", "\\s")))
-    return screens.select(
-        "screen_id",
-        "session_id",
-        inside.alias("names_app"),
-        mask(lambda s: _phrase(s[0]) + r"\s*\z").alias("tail"),
-        mask(lambda s: r"\A\s*" + _phrase(s[1])).alias("head"),
-        middle.alias("is_middle"),
-        (~text.rlike(ic(r"\S"))).alias("is_blank"),
+    return with_keywords(screens).select(
+        "screen_id", "session_id", *[c.alias(n) for n, c in app_name_columns().items()]
     )
 
 
@@ -86,8 +57,8 @@ def split_names(facts: DataFrame) -> DataFrame:
     Neighbours are found inside buckets of screen ids, then once more among the
     first and last two screens of each bucket, so no task sorts a whole session.
     """
-    first_split = [1 << i for i, (a, b) in enumerate(SPLITS) if len(a) == 1 and len(b) == 2]
-    last_split = [1 << i for i, (a, b) in enumerate(SPLITS) if len(a) == 2 and len(b) == 1]
+    first_split = [1 << i for i, (a, b) in enumerate(APP_NAME_SPLITS) if len(a) == 1 and len(b) == 2]
+    last_split = [1 << i for i, (a, b) in enumerate(APP_NAME_SPLITS) if len(a) == 2 and len(b) == 1]
     first_mask, last_mask = sum(first_split), sum(last_split)
 
     def meets(one, two, cut):
@@ -120,9 +91,8 @@ def split_names(facts: DataFrame) -> DataFrame:
     return met.filter(F.coalesce("_met", F.lit(False))).select("session_id").distinct()
 
 
-def app_names(screens: DataFrame) -> DataFrame:
-    """Application name per session."""
-    facts = app_name_facts(screens)
+def app_names(facts: DataFrame) -> DataFrame:
+    """Application name per session, from the columns of ``app_name_columns``."""
     named = facts.groupBy("session_id").agg(F.bool_or("names_app").alias("named"))
     split = split_names(facts).withColumn("_split", F.lit(True))
     found = F.col("named") | F.coalesce("_split", F.lit(False))
@@ -145,17 +115,19 @@ def _mask_ids(mask: Column) -> Column:
 
 
 def merge_scans(
-    screens: DataFrame, verdicts: DataFrame, analysis: DataFrame | None = None
+    facts: DataFrame, verdicts: DataFrame, analysis: DataFrame | None = None
 ) -> DataFrame:
     """One row per session: present ids, words said, latest screen label and analysis texts.
 
-    ``verdicts``: rows of ``verdict_rows`` (with ``session_id``); ``analysis``:
-    ``screen_id, ai_summary, purpose_assessment``.
+    ``facts``: rows of ``scan_text``; ``verdicts``: rows of ``verdict_rows`` (with
+    ``session_id``); ``analysis``: ``screen_id, ai_summary, purpose_assessment``.
     """
-    text = screens.select(
-        "screen_id",
-        F.size(keyword_hits(F.lower("full_text"), ROPA_CONSENT_WORDS)).alias("consent_words"),
-        F.size(keyword_hits(F.lower("full_text"), ROPA_LAW_WORDS)).alias("law_words"),
+
+    def says(ws):
+        return F.arrays_overlap("hits", words(ws)).cast("int")
+
+    text = facts.select(
+        "screen_id", says(ROPA_CONSENT_WORDS).alias("consent_words"), says(ROPA_LAW_WORDS).alias("law_words")
     )
     joined = verdicts.select(
         "screen_id", "session_id", "screen_label", "total_entities",
@@ -188,7 +160,7 @@ def merge_scans(
     return (
         merged.withColumn("present", _mask_ids(F.col("mask")))
         .drop("mask")
-        .join(app_names(screens), "session_id")
+        .join(app_names(facts), "session_id")
     )
 
 

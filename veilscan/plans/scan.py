@@ -1,7 +1,7 @@
 """The whole audit as one plan.
 
-The text is read once.  That pass leaves two narrow tables, matches and facts, in the
-shared checkpoint folder; everything after works on those.
+The text is read once.  That pass leaves a narrow table of matches and facts per screen in
+the shared checkpoint folder; everything after works on that.
 """
 
 from __future__ import annotations
@@ -9,17 +9,17 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from veilscan.operators.inventory import text_facts
+from veilscan.functions.tables import explode_rows
 from veilscan.operators.layout import layout_entities
 from veilscan.operators.resolve import (
     candidates,
     evidence,
-    raw_matches,
     resolve_entities,
     resolve_with_fallback,
+    scan_text,
+    scanned_matches,
 )
 from veilscan.operators.rules import rule_features
 from veilscan.operators.structure import line_table, structured_screens
@@ -44,7 +44,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 class Audit:
     """Tables of one audit."""
 
-    screens: DataFrame
+    scanned: DataFrame
     candidates: DataFrame
     entities: DataFrame
     features: DataFrame
@@ -52,8 +52,9 @@ class Audit:
 
     @property
     def violations(self) -> DataFrame:
-        found = self.verdicts.select("screen_id", "session_id", F.explode("violations").alias("v"))
-        return found.select("screen_id", "session_id", "v.*")
+        return explode_rows(self.verdicts, "violations", "v", "screen_id", "session_id").select(
+            "screen_id", "session_id", "v.*"
+        )
 
 
 def audit(
@@ -66,12 +67,13 @@ def audit(
     are used.  ``layout`` are layout matches of screens that have blocks.
     """
     keep = (lambda df, name: stage(df, name)) if staged else (lambda df, name: df)
-    raw = raw_matches(screens, layout)
-    cands = candidates(evidence(raw))
+    scanned = keep(scan_text(screens), "scanned")
+    cands = candidates(evidence(scanned_matches(scanned, layout)))
     entities = resolve_with_fallback(cands) if decisions is None else resolve_entities(cands, decisions)
     entities = keep(entities, "entities")
-    features = rule_features(text_facts(screens), entities)
-    return Audit(screens, cands, entities, features, verdict_rows(features))
+    facts = scanned.drop("found", "ctx_bits", "line_conf")
+    features = rule_features(facts, entities)
+    return Audit(scanned, cands, entities, features, verdict_rows(features))
 
 
 def audit_blocks(blocks: DataFrame, screen_columns: DataFrame, decisions: DataFrame | None = None) -> Audit:

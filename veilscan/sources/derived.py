@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilscan.sources.screens import EPOCH_2024, SCREEN_COLUMNS, read_screens
+from veilscan.sources.screens import EPOCH_2024, SCREEN_COLUMNS, read_screens, spread
 
 # Lines per template; NULL lines are left out.  Columns: k (customer key), nine/six/five/four
 # (its last digits), money (balance), odd (every second round), clean (every seventh
@@ -102,7 +102,7 @@ def customer_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.max("o_orderkey").alias("last_key"),
         )
     )
-    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    customers = spread(spark.read.parquet(f"{sf_dir}/customer.parquet"))
     joined = customers.join(orders, customers.c_custkey == orders.o_custkey, "left")
     return joined.selectExpr(
         *_split_fields(CUSTOMER_FIELDS_SQL),

@@ -30,6 +30,16 @@ def _screens(df: DataFrame) -> DataFrame:
     return df.select(*SCREEN_COLUMNS)
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """Use all cores on an input that comes in fewer pieces than there are cores.
+
+    Scanning text is all computation, and a small file is often a single row group.
+    Large inputs have more splits than cores and pass through untouched.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
+
+
 def strip_tags(html: Column) -> Column:
     """Visible text of a page: scripts, styles, comments and tags out, entities decoded."""
     text = F.regexp_replace(
@@ -49,6 +59,8 @@ def read_screens(spark: SparkSession, path: str, kind: str) -> DataFrame:
     The text of a screen is one value: a conversation's turns are joined in turn order.
     """
     table = spark.read.parquet(path)
+    if kind != "conversations":
+        table = spread(table)
     if kind == "screens":
         return _screens(table)
     if kind == "documents":
