@@ -30,7 +30,13 @@ def read_baselines(spark: SparkSession, store: str) -> DataFrame:
     """Baselines that have not been deleted."""
     rows = _read(spark, f"{store}/rows", SCHEMA)
     deleted = _read(spark, f"{store}/deleted", "id bigint")
-    return rows.join(deleted.distinct(), "id", "left_anti").select("id", "user_id", "file_name", "created_at", "payload")
+    return without_deleted(rows, deleted)
+
+
+def without_deleted(rows: DataFrame, deleted: DataFrame) -> DataFrame:
+    """Baselines whose id is not among the deleted ones."""
+    kept = rows.join(deleted.select("id"), "id", "left_anti")
+    return kept.select("id", "user_id", "file_name", "created_at", "payload")
 
 
 def judge_new(existing: DataFrame, new: DataFrame) -> DataFrame:
