@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilscan.functions.numbers import rounded
 from veilscan.catalogs import (
     ALIAS_TO_TYPE,
     NAME_FORBIDDEN_TOKENS,
@@ -74,7 +75,7 @@ def block_runs(lines: DataFrame, longest: int = 5) -> DataFrame:
     )
 
     def bound(field, pick):
-        return F.round(pick(F.transform("r.bs", lambda b: b[field])), 1)
+        return rounded(pick(F.transform("r.bs", lambda b: b[field])), 1)
 
     total = F.aggregate("r.bs", F.lit(0.0), lambda a, b: a + b["confidence"])
     boxed = rows.select(
@@ -83,7 +84,7 @@ def block_runs(lines: DataFrame, longest: int = 5) -> DataFrame:
         F.transform("r.bs", lambda b: b["block_index"]).alias("block_indices"),
         bound("x1", F.array_min).alias("x1"), bound("y1", F.array_min).alias("y1"),
         bound("x2", F.array_max).alias("x2"), bound("y2", F.array_max).alias("y2"),
-        F.round(total / F.size("r.bs"), 4).alias("confidence"),
+        rounded(total / F.size("r.bs"), 4).alias("confidence"),
     )
     return boxed.select(
         "*",
@@ -182,7 +183,7 @@ def spatial_confidence(label, seg) -> Column:
 def combined(extraction: Column, spatial: Column, validation: Column) -> Column:
     total = extraction * 0.25 + spatial * 0.35 + validation * 0.40
     both = (validation > 0) & (spatial > 0)
-    return F.round(F.least(F.lit(0.99), F.when(both, total).otherwise(0.0)), 4)
+    return rounded(F.least(F.lit(0.99), F.when(both, total).otherwise(0.0)), 4)
 
 
 def _bands(low: Column, high: Column) -> Column:
@@ -227,13 +228,13 @@ def score_pairs(runs: DataFrame) -> DataFrame:
     valued = neighbour_pairs(runs).withColumn("value", entity_value(label("entity_type"), seg("text")))
     scored = valued.select(
         "*",
-        F.round(validation_confidence(label("entity_type"), F.col("value"), seg("text"), seg("line_text")), 4)
+        rounded(validation_confidence(label("entity_type"), F.col("value"), seg("text"), seg("line_text")), 4)
         .alias("validation"),
         spatial_confidence(label, seg).alias("_spatial"),
     )
     return scored.select(
         "screen_id", "l", "s", "value", "validation",
-        F.round("_spatial", 4).alias("spatial"),
+        rounded(F.col("_spatial"), 4).alias("spatial"),
         combined(seg("confidence"), F.col("_spatial"), F.col("validation")).alias("combined"),
         ((F.col("validation") > 0) & (F.col("_spatial") > 0)).alias("accepted"),
         F.array_compact(
@@ -285,7 +286,7 @@ def _holder_name() -> Column:
         F.col("s.y1"), F.abs(F.col("s.x1") - F.col("l.x1")).alias("dx"), F.col("s.line_index"),
         F.col("s.first"), F.col("s.size"),
     )
-    score = F.round(
+    score = rounded(
         F.least(F.lit(0.99), F.col("s.confidence") * 0.25 + F.lit(0.85) * 0.35 + F.lit(0.94) * 0.40), 4
     )
     pair = _picked_struct(name, F.lit(0.94), F.lit(0.85), score, True)
@@ -373,13 +374,13 @@ def layout_decisions(lines: DataFrame, top: int = 25) -> DataFrame:
     def scored(o, i):
         s = o["s"]
         value = entity_value(label("entity_type"), s["text"])
-        validation = F.round(validation_confidence(label("entity_type"), value, s["text"], s["line_text"]), 4)
+        validation = rounded(validation_confidence(label("entity_type"), value, s["text"], s["line_text"]), 4)
         spatial = spatial_confidence(label, lambda f: s[f])
         accepted = (validation > 0) & (spatial > 0)
         return F.struct(
             (~accepted).alias("rejected"),
             (-combined(s["confidence"], spatial, validation)).alias("negative_combined"),
-            (-F.round(spatial, 4)).alias("negative_spatial"),
+            (-rounded(spatial, 4)).alias("negative_spatial"),
             (-validation).alias("negative_validation"),
             i.alias("position"),
             s["text"].alias("candidate_text"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilscan.functions.numbers import rounded
 from veilscan.catalogs import (
     ACCOUNT_KEYWORDS,
     DECISION_TYPE_ALIASES,
@@ -74,7 +75,7 @@ def scanned_matches(scanned: DataFrame, layout: DataFrame | None = None) -> Data
     near = slice_around(F.col("line_conf"), F.col("line"), F.col("last_line"))
     total = F.aggregate(near, F.lit(0.0), lambda a, c: a + c["total"])
     blocks = F.aggregate(near, F.lit(0), lambda a, c: a + c["blocks"])
-    measured = F.round(F.coalesce(total / blocks, F.col("avg_confidence")), 4)
+    measured = rounded(F.coalesce(total / blocks, F.col("avg_confidence")), 4)
     rows = rows.withColumn("ocr_confidence", measured).drop("line_conf", "avg_confidence")
     return combine_layout(clean_context_rows(suppress_overlaps(rows.repartition("screen_id"))), layout)
 
@@ -170,7 +171,7 @@ def usable_decisions(decisions: DataFrame) -> DataFrame:
         "screen_id",
         strip(F.col("value")).alias("value"),
         decision_type(F.col("final_type")).alias("final_type"),
-        F.round(confidence, 4).alias("confidence"),
+        rounded(confidence, 4).alias("confidence"),
         "reasoning",
         "position",
     ).filter((F.col("value") != "") & (F.col("final_type") != "") & ~F.col("final_type").isin(IGNORED_DECISIONS))
@@ -199,7 +200,7 @@ def normalise_decisions(json_df: DataFrame, column: str = "payload") -> DataFram
         "x.position",
         strip(F.coalesce(F.col("x.e.value"), F.lit(""))).alias("value"),
         F.when(kind.isin(DECISION_TYPES), kind).otherwise("IGNORE").alias("final_type"),
-        F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 4).alias("confidence"),
+        rounded(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 4).alias("confidence"),
         F.substring(F.coalesce(F.col("x.e.reasoning"), F.lit("")), 1, 1000).alias("reasoning"),
     )
 
@@ -217,7 +218,7 @@ def fallback_decisions(cands: DataFrame) -> DataFrame:
         "value_key",
         "value",
         F.when(bad, "IGNORE").otherwise(F.col("best_type")).alias("final_type"),
-        F.round(
+        rounded(
             F.when(bad, F.least("best_confidence", F.lit(0.2))).otherwise(F.col("best_confidence")), 4
         ).alias("confidence"),
         F.lit(FALLBACK_REASON).alias("reasoning"),
@@ -231,7 +232,7 @@ def fused_confidence(ai: Column, deterministic: Column, ocr: Column, layout: Col
     w_layout = F.when(layout > 0, F.lit(0.15)).otherwise(zero)
     total = w_ai + F.lit(0.25) + F.lit(0.15) + w_layout
     score = (ai * w_ai + deterministic * 0.25 + ocr * 0.15 + layout * w_layout) / total
-    return F.round(F.greatest(zero, F.least(F.lit(0.99), score)), 4)
+    return rounded(F.greatest(zero, F.least(F.lit(0.99), score)), 4)
 
 
 def _resolved(joined: DataFrame) -> DataFrame:
@@ -302,7 +303,7 @@ def resolve_with_fallback(cands: DataFrame) -> DataFrame:
         cands.select(
             "*",
             F.when(~F.coalesce(bad, F.lit(False)), F.col("best_type")).alias("d_type"),
-            F.when(~F.coalesce(bad, F.lit(False)), F.round("best_confidence", 4)).alias("d_confidence"),
+            F.when(~F.coalesce(bad, F.lit(False)), rounded(F.col("best_confidence"), 4)).alias("d_confidence"),
             F.col("value").alias("d_value"),
         )
     )
@@ -400,7 +401,7 @@ def deterministic_entities(raw: DataFrame) -> DataFrame:
         .filter(F.col("_nth") == 1)
         .select(
             "screen_id", rank.alias("entity_rank"), "pii_type", "value",
-            F.round("confidence", 4).alias("confidence"), "masked", "source_rule",
+            rounded(F.col("confidence"), 4).alias("confidence"), "masked", "source_rule",
             "aadhaar_checksum_valid", "start", "end", "line", "last_line", *LAYOUT_COLUMNS,
         )
     )

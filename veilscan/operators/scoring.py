@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilscan.functions.numbers import rounded
 from veilscan.catalogs import (
     DOCUMENT_SENSITIVITY,
     FINDING_PENALTY,
@@ -226,7 +227,7 @@ def normalise_analysis(json_df: DataFrame, column: str = "payload") -> DataFrame
             F.slice(F.coalesce(v["pii_involved"], F.array().cast("array<string>")), 1, 8).alias("pii_involved"),
             _cut(v["finding"], 300).alias("finding"),
             _level(v["severity"], F.lit("LOW")).alias("severity"),
-            F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 2).alias("confidence"),
+            rounded(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 2).alias("confidence"),
             _cut(v["category"], 80).alias("category"),
             _cut(v["penalty_reference"], 100).alias("penalty_reference"),
         )
@@ -247,8 +248,8 @@ def normalise_analysis(json_df: DataFrame, column: str = "payload") -> DataFrame
         _level(d["screen_sensitivity"], overall).alias("screen_sensitivity"),
         F.when(stated.isin("YES", "NO", "INCONCLUSIVE"), stated)
         .otherwise(F.when(F.size(listed) > 0, "YES").otherwise("NO")).alias("violations_found"),
-        _cut(d["purpose_limitation.assessment"], 600).alias("purpose_assessment"),
-        F.coalesce(d["purpose_limitation.excessive_data_exposure"], F.lit(False)).alias("excessive_data_exposure"),
+        _cut(d["purpose_limitation"]["assessment"], 600).alias("purpose_assessment"),
+        F.coalesce(d["purpose_limitation"]["excessive_data_exposure"], F.lit(False)).alias("excessive_data_exposure"),
         details.alias("violation_details"),
         texts("recommendations", 12, 300),
         texts("observations", 12, 300),

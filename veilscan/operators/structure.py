@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilscan.functions.numbers import rounded
 from veilscan.functions.text import normalised_value, strip
 
 # Slack for rounding when cutting at gaps; the fold decides what is left.
@@ -151,7 +152,7 @@ def line_table(blocks: DataFrame) -> DataFrame:
     before = place.rowsBetween(Window.unboundedPreceding, -1)
 
     def bound(field, pick):
-        return F.round(pick(F.transform("members", lambda m: m[field])), 1)
+        return rounded(pick(F.transform("members", lambda m: m[field])), 1)
 
     total = F.aggregate("members", F.lit(0.0), lambda a, m: a + m["confidence"])
     rows = composed.select(
@@ -172,7 +173,7 @@ def line_table(blocks: DataFrame) -> DataFrame:
         (F.col("start") + F.length("text")).alias("end"),
         ((F.col("x1") + F.col("x2")) / 2).alias("cx"),
         ((F.col("y1") + F.col("y2")) / 2).alias("cy"),
-        F.round(F.col("confidence_total") / F.size("members"), 4).alias("avg_confidence"),
+        rounded(F.col("confidence_total") / F.size("members"), 4).alias("avg_confidence"),
     )
 
 
@@ -219,7 +220,7 @@ def structured_screens(lines: DataFrame) -> DataFrame:
         "screen_id",
         F.array_join(F.transform("ls", lambda r: r["text"]), "\n").alias("full_text"),
         F.transform("ls", lambda r: F.struct(r["total"].alias("total"), r["blocks"].alias("blocks"))).alias("line_conf"),
-        F.round("mean_confidence", 4).alias("avg_confidence"),
+        rounded(F.col("mean_confidence"), 4).alias("avg_confidence"),
     )
 
 
@@ -246,8 +247,8 @@ def cluster_columns(blocks: DataFrame) -> DataFrame:
         members = F.concat(c["block_indices"], F.array(b["block_index"]))
         x1_sum, cx_sum = c["x1_sum"] + b["x1"], c["cx_sum"] + b["cx"]
         return column_struct(
-            F.round(x1_sum / F.size(members), 2), F.greatest(c["x2"], b["x2"]),
-            F.round(cx_sum / F.size(members), 2), x1_sum, cx_sum, members,
+            rounded(x1_sum / F.size(members), 2), F.greatest(c["x2"], b["x2"]),
+            rounded(cx_sum / F.size(members), 2), x1_sum, cx_sum, members,
         )
 
     def step(columns, b):
@@ -280,7 +281,7 @@ def row_cells(lines: DataFrame, columns: DataFrame) -> DataFrame:
     members = columns.select("screen_id", "column_index", F.explode("block_indices").alias("block_index"))
     flat = cells.select(
         "screen_id", "line_index", "cell_index", "m.block_index", "m.text",
-        F.round("m.confidence", 4).alias("confidence"), "m.x1", "m.y1", "m.x2", "m.y2",
+        rounded(F.col("m.confidence"), 4).alias("confidence"), "m.x1", "m.y1", "m.x2", "m.y2",
     )
     return flat.join(members, ["screen_id", "block_index"], "left")
 
@@ -351,7 +352,7 @@ def match_to_blocks(matches: DataFrame, blocks: DataFrame) -> DataFrame:
     )
 
     def pick(field, function):
-        return F.round(function(F.transform("_found", lambda b: b[field])), 1)
+        return rounded(function(F.transform("_found", lambda b: b[field])), 1)
 
     mean = F.aggregate("_found", F.lit(0.0), lambda a, b: a + b["confidence"]) / F.size("_found")
     return staged.select(
@@ -359,5 +360,5 @@ def match_to_blocks(matches: DataFrame, blocks: DataFrame) -> DataFrame:
         F.transform("_found", lambda b: b["block_index"]).alias("block_indices"),
         pick("x1", F.array_min).alias("x1"), pick("y1", F.array_min).alias("y1"),
         pick("x2", F.array_max).alias("x2"), pick("y2", F.array_max).alias("y2"),
-        F.coalesce(F.when(F.size("_found") > 0, F.round(mean, 4)), F.lit(0.0)).alias("block_confidence"),
+        F.coalesce(F.when(F.size("_found") > 0, rounded(mean, 4)), F.lit(0.0)).alias("block_confidence"),
     )

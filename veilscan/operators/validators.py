@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilscan.functions.numbers import rounded
 from veilscan.catalogs import AADHAAR_KEYWORDS, ACCOUNT_KEYWORDS, BANKING_KEYWORDS
 from veilscan.functions.verhoeff import verhoeff_valid
 from veilscan.operators.context import context_has, context_words, has_transaction_context
@@ -40,7 +41,7 @@ def aadhaar_columns(value: Column, ctx: Column) -> dict[str, Column]:
         "aadhaar_repeated": repeated,
         "aadhaar_context": supported,
         "aadhaar_banking_context": banking,
-        "aadhaar_confidence": F.round(F.greatest(F.lit(0.0), F.least(F.lit(0.99), total)), 4),
+        "aadhaar_confidence": rounded(F.greatest(F.lit(0.0), F.least(F.lit(0.99), total)), 4),
         "aadhaar_valid": format_valid & starts_valid & checksum & ~repeated,
     }
 
@@ -69,7 +70,7 @@ def with_candidate_confidence(matches: DataFrame) -> DataFrame:
     )
     floored = F.when(F.col("is_layout"), F.greatest(judged, own)).otherwise(judged)
     clamped = F.greatest(F.lit(0.0), F.least(F.lit(0.99), floored))
-    return matches.withColumn("evidence_confidence", F.round(clamped, 4))
+    return matches.withColumn("evidence_confidence", rounded(clamped, 4))
 
 
 def masking_ok(pii_type: Column, value: Column) -> Column:

@@ -36,7 +36,14 @@ def inlist(values) -> str:
 
 
 def r4(x: str, places: int = 4) -> str:
-    return f"CAST(round(CAST({x} AS DECIMAL(30,15)), {places}) AS DOUBLE)"
+    """Correct rounding of a double, ties to even, on its exact value."""
+    scale = f"{10 ** places}.0::DOUBLE"
+    high = "(134217729.0::DOUBLE * v - (134217729.0::DOUBLE * v - v))"
+    error = f"(({high} * {scale} - v * {scale}) + (v - {high}) * {scale})"
+    low = f"floor(v * {scale})"
+    rest = f"(v * {scale} - {low})"
+    return (f"list_transform([CAST({x} AS DOUBLE)], lambda v: (CASE WHEN {rest} > 0.5 OR ({rest} = 0.5 AND ({error} > 0 OR ({error} = 0 AND {low} % 2 <> 0))) "
+            f"THEN {low} + 1 ELSE {low} END) / {scale})[1]")
 
 
 def any_word(text: str, values) -> str:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilscan import catalogs as c
+from veilscan.functions.numbers import rounded
 from veilscan.functions.regex import find_spans
 from veilscan.functions.tables import explode_rows
 from veilscan.operators import (
@@ -169,7 +170,7 @@ def _(spark, sf):
     return screens.purge_scanned(corpus(spark, sf), scanned).select("screen_id", "filename")
 
 
-@query("src_6_avg_confidence", f"SELECT screen_id, coalesce({o.r4('avg(confidence)')}, 0.0) AS avg_confidence FROM scr LEFT JOIN blk USING (screen_id) GROUP BY screen_id", "scr blk")
+@query("src_6_avg_confidence", f"SELECT screen_id, coalesce({o.r4('CAST(sum(CAST(confidence AS DECIMAL(10,4))) AS DOUBLE) / count(confidence)')}, 0.0) AS avg_confidence FROM scr LEFT JOIN blk USING (screen_id) GROUP BY screen_id", "scr blk")
 def _(spark, sf):
     return screens.avg_confidence(blocks(spark, sf), corpus(spark, sf))
 
@@ -483,8 +484,8 @@ def _(spark, sf):
     return layout_matches(spark, sf).select("screen_id", "pii_type", "value", "confidence")
 
 
-@query("assoc_12_layout_decisions", """SELECT l.screen_id, l.entity_type, l.text AS label, CAST(n AS BIGINT) AS candidate_count, b.value AS selected_value, b.combined AS selected_confidence
-    FROM lab l JOIN (SELECT screen_id, count(*) AS n FROM vseg GROUP BY screen_id) USING (screen_id)
+@query("assoc_12_layout_decisions", """SELECT l.screen_id, l.entity_type, l.text AS label, CAST(sn AS BIGINT) AS candidate_count, b.value AS selected_value, b.combined AS selected_confidence
+    FROM lab l JOIN (SELECT screen_id, count(*) AS sn FROM vseg GROUP BY screen_id) USING (screen_id)
     LEFT JOIN bestpair b ON b.screen_id = l.screen_id AND b.l_line = l.line_index AND b.l_first = l.first AND b.l_size = l.size""", "lab vseg bestpair")
 def _(spark, sf):
     return layout.layout_decisions(lines(spark, sf)).select(
@@ -544,7 +545,7 @@ def _decision_json(spark, sf):
     return facts.select((F.col("k") * 2 + 1).alias("screen_id"), F.to_json(F.struct(items.alias("entity_classifications"))).alias("payload"))
 
 
-o.part("dec", "facts", """SELECT k * 2 + 1 AS screen_id, '041' || nine AS value, 'BANK_ACCOUNT' AS final_type, CAST(round(CAST(least(1.0, (k % 13) / 10) AS DECIMAL(30,15)), 4) AS DOUBLE) AS confidence FROM facts
+o.part("dec", "facts", """SELECT k * 2 + 1 AS screen_id, '041' || nine AS value, 'BANK_ACCOUNT' AS final_type, least(1.0::DOUBLE, (k % 13)::DOUBLE / 10) AS confidence FROM facts
     UNION ALL SELECT k * 2 + 1, 'RAVI KUMAR', 'ACCOUNT_HOLDER_NAME', 0.0 FROM facts""")
 
 
@@ -596,7 +597,7 @@ def _(spark, sf):
 @query("res_8_priority_rules", "SELECT screen_id, pii_type, CAST(s AS BIGINT) AS s, CAST(e AS BIGINT) AS e, value, conf AS confidence FROM (SELECT * REPLACE (" + o.r4("conf") + " AS conf) FROM det3)", "det3")
 def _(spark, sf):
     kept = resolve.priority_rules(raw_matches(spark, sf))
-    return sql_span(kept.withColumn("confidence", F.round("confidence", 4)), "pii_type", "confidence")
+    return sql_span(kept.withColumn("confidence", rounded(F.col("confidence"))), "pii_type", "confidence")
 
 
 @query("res_9_deterministic_entities", "SELECT screen_id, pii_type, value, confidence, masked, category, risk FROM dent", "dent")

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilscan.functions.numbers import rounded
 from veilscan.functions.text import WHITESPACE, canonical_text
 
 SCREEN_COLUMNS = [
@@ -118,8 +119,8 @@ def read_blocks(raw: DataFrame) -> DataFrame:
         "screen_id",
         "block_index",
         repaired_text(F.col("text")).alias("text"),
-        F.round("confidence", 4).alias("confidence"),
-        F.transform("bbox", lambda p: F.transform(F.slice(p, 1, 2), lambda v: F.round(v, 1))).alias("bbox"),
+        rounded(F.col("confidence"), 4).alias("confidence"),
+        F.transform("bbox", lambda p: F.transform(F.slice(p, 1, 2), lambda v: rounded(v, 1))).alias("bbox"),
     )
 
 
@@ -155,7 +156,9 @@ def purge_scanned(screens: DataFrame, scanned: DataFrame) -> DataFrame:
 
 def avg_confidence(blocks: DataFrame, screens: DataFrame | None = None) -> DataFrame:
     """Mean block confidence per screen, 4 places; 0 for screens without blocks."""
-    means = blocks.groupBy("screen_id").agg(F.round(F.avg("confidence"), 4).alias("avg_confidence"))
+    # Confidences have four places, so their sum as decimals is exact in any order.
+    exact = F.sum(F.col("confidence").cast("decimal(10,4)")).cast("double") / F.count("confidence")
+    means = blocks.groupBy("screen_id").agg(rounded(exact).alias("avg_confidence"))
     if screens is None:
         return means
     return (
