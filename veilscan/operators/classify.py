@@ -14,6 +14,7 @@ from veilscan.catalogs import (
     STATEMENT_WORDS,
     screen_dim,
 )
+from veilscan.functions.regex import let
 from veilscan.functions.tables import explode_rows
 from veilscan.functions.text import keyword_hits, quoted, words
 
@@ -64,15 +65,20 @@ def screen_types_of(hits: Column) -> Column:
         f"array({', '.join(map(quoted, ws))}) AS keywords)"
         for order, (screen_type, ws) in enumerate(SCREEN_SIGNALS)
     )
-    counts = F.transform(
-        F.expr(f"array({listed})"),
-        lambda t: F.struct(
-            (-F.size(F.array_intersect(t["keywords"], hits))).alias("negative_hits"),
-            t["list_order"].alias("list_order"),
-            t["screen_type"].alias("screen_type"),
-        ),
-    )
-    return F.array_sort(F.filter(counts, lambda c: c["negative_hits"] < 0))
+
+    def ranked(held):
+        counts = F.transform(
+            F.expr(f"array({listed})"),
+            lambda t: F.struct(
+                (-F.size(F.array_intersect(t["keywords"], held))).alias("negative_hits"),
+                t["list_order"].alias("list_order"),
+                t["screen_type"].alias("screen_type"),
+            ),
+        )
+        return F.array_sort(F.filter(counts, lambda c: c["negative_hits"] < 0))
+
+    # Bound once: a column used inside a lambda may be worked out again per element.
+    return let(hits, ranked)
 
 
 def screen_type_hits(screens: DataFrame) -> DataFrame:

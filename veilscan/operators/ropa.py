@@ -29,6 +29,7 @@ from veilscan.catalogs import (
     SCREEN_SOURCES,
     ropa_field_dim,
 )
+from veilscan.functions.regex import let
 from veilscan.functions.text import quoted, words
 from veilscan.operators.inventory import (
     APP_NAME_SPLITS,
@@ -104,7 +105,7 @@ def app_names(facts: DataFrame) -> DataFrame:
 # -- merge --------------------------------------------------------------------
 def _id_mask(ids: Column) -> Column:
     pairs = ", ".join(f"struct('{p}' AS p, {1 << i}L AS b)" for i, p in enumerate(ID_ORDER))
-    held = F.filter(F.expr(f"array({pairs})"), lambda x: F.array_contains(ids, x["p"]))
+    held = let(ids, lambda own: F.filter(F.expr(f"array({pairs})"), lambda x: F.array_contains(own, x["p"])))
     return F.aggregate(held, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x["b"]))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilscan.functions.numbers import rounded
+from veilscan.functions.regex import let
 from veilscan.functions.text import normalised_value, strip
 
 # Slack for rounding when cutting at gaps; the fold decides what is left.
@@ -346,7 +347,10 @@ def match_to_blocks(matches: DataFrame, blocks: DataFrame) -> DataFrame:
         "blocks",
         lambda b: (F.col("_key") != "") & (F.contains(b["key"], F.col("_key")) | F.contains(F.col("_key"), b["key"])),
     )
-    loose = F.filter("blocks", lambda b: F.exists("_words", lambda w: F.contains(b["lower"], w)))
+    loose = let(
+        F.col("_words"),
+        lambda ws: F.filter("blocks", lambda b: F.exists(ws, lambda w: F.contains(b["lower"], w))),
+    )
     staged = joined.withColumn("_direct", direct).withColumn(
         "_found", F.when(F.size("_direct") > 0, F.col("_direct")).otherwise(loose)
     )
