@@ -74,18 +74,22 @@ DETECTOR_RULES = [
 ]
 
 
-def with_guards(screens: DataFrame) -> DataFrame:
-    """``_words`` (of ``GUARD_WORDS``, those the text has in any case) and ``_digits`` (step of
-    its longest digit run)."""
+def with_guards(screens: DataFrame, also: list[str] | None = None) -> DataFrame:
+    """What the guards ask for, worked out once per text.
+
+    ``_lower``, ``_fold`` (case-blind form), ``_words`` (of ``GUARD_WORDS`` and ``also``,
+    those ``_fold`` contains) and ``_digits`` (step of the longest digit run).
+    """
     text = F.col("full_text")
     digits = F.when(~text.rlike(r"\p{Nd}"), 0)
     for low, high in zip([1, *DIGIT_STEPS], DIGIT_STEPS):
         digits = digits.when(~text.rlike(rf"\p{{Nd}}{{{high}}}"), low)
-    return screens.select(
-        "*",
-        keyword_hits(F.translate(F.lower(text), "ſı̇", "si"), GUARD_WORDS).alias("_words"),
-        digits.otherwise(DIGIT_STEPS[-1]).alias("_digits"),
+    lowered = screens.select(
+        "*", F.lower(text).alias("_lower"), digits.otherwise(DIGIT_STEPS[-1]).alias("_digits")
     )
+    folded = lowered.withColumn("_fold", F.translate("_lower", "ſı̇", "si"))
+    listed = list(dict.fromkeys([*GUARD_WORDS, *(also or [])]))
+    return folded.withColumn("_words", keyword_hits(F.col("_fold"), listed))
 
 
 FOUND_TYPE = (

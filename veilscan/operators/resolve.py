@@ -17,7 +17,7 @@ from veilscan.catalogs import (
     entity_dim,
 )
 from veilscan.functions.tables import explode_rows
-from veilscan.functions.text import compact_value, normalised_value, quoted, strip, words
+from veilscan.functions.text import compact_value, keyword_hits, normalised_value, quoted, strip, words
 from veilscan.operators.context import (
     CONTEXT_RULES,
     STAGE_BALANCE,
@@ -38,7 +38,7 @@ from veilscan.operators.detectors import (
     suppress_overlaps,
     with_guards,
 )
-from veilscan.operators.inventory import app_name_columns, fact_columns, with_keywords
+from veilscan.operators.inventory import ALL_KEYWORDS, app_name_columns, fact_columns
 from veilscan.operators.validators import with_aadhaar_validation, with_candidate_confidence
 
 LAYOUT_COLUMNS = ["spatial_confidence", "validation_confidence"]
@@ -56,14 +56,18 @@ def scan_text(screens: DataFrame) -> DataFrame:
             "line_conf", F.lit(None).cast("array<struct<total:double,blocks:int>>")
         )
     keep = [c for c in screens.columns if c != "full_text"]
+    # The guards' keyword search also finds the catalogue's, unless folding changed the text.
+    guarded = with_guards(screens, ALL_KEYWORDS)
+    hits = F.when(F.col("_fold") == F.col("_lower"), F.col("_words")).otherwise(
+        keyword_hits(F.col("_lower"), ALL_KEYWORDS)
+    )
     columns = {
-        **scan_columns([*DETECTOR_RULES, *CONTEXT_RULES]),
         "hits": F.col("hits"),
+        **scan_columns([*DETECTOR_RULES, *CONTEXT_RULES]),
         **fact_columns(),
         **app_name_columns(),
     }
-    guarded = with_keywords(with_guards(screens))
-    return guarded.select(*keep, *[c.alias(n) for n, c in columns.items()])
+    return guarded.withColumn("hits", hits).select(*keep, *[c.alias(n) for n, c in columns.items()])
 
 
 def scanned_matches(scanned: DataFrame, layout: DataFrame | None = None) -> DataFrame:
