@@ -38,7 +38,8 @@ TEMPLATE_LINES = [
      "'Expiry 12/2030'", "CASE WHEN odd THEN 'CVV: 123' END", "'SIGNATURE PANEL'"],
     ["'Fund transfer'", "'Beneficiary'", "concat('IFSC ABCD0', six)", "'Allow contacts'",
      "concat('neft/ABC/', '77', nine)", "CASE WHEN odd THEN 'Religion' END",
-     "concat('Voter XYZ1', six)", "concat('DL KA01 2011 1', six)"],
+     "concat('Voter XYZ1', six)", "concat('DL KA01 2011 1', six)",
+     "CASE WHEN odd AND clean THEN 'Fingerprint' END"],
     ["'Mobile recharge'", "'Operator prepaid'", "'Recharge amount Rs. 299'",
      "CASE WHEN NOT clean THEN 'Date of birth 12/05/1990' END",
      "CASE WHEN NOT clean THEN concat('Account number 041', nine) END", "'Gallery access'"],
