@@ -32,7 +32,7 @@ from veilscan.catalogs import (
     UPI_PATH_PATTERN,
 )
 from veilscan.functions.regex import let, matches
-from veilscan.functions.text import keyword_hits, quoted, words
+from veilscan.functions.text import keyword_hits, quoted, strip, words
 from veilscan.operators.classify import DOCUMENT_KEYWORDS, document_type_of
 from veilscan.operators.detectors import (
     MATCH_COLUMNS,
@@ -138,10 +138,51 @@ def slice_around(values: Column, line: Column, last_line: Column, window: int =
     return F.slice(values, first + 1, last_line + window - first + 1)
 
 
-def bits_around(bits: Column, line: Column, last_line: Column) -> Column:
-    """Union of the bits of a match's lines and their neighbours."""
-    near = slice_around(bits, line, last_line)
-    return F.aggregate(near, F.expr(NO_BITS), lambda a, b: a.bitwiseOR(b))
+def _union(bits: Column) -> Column:
+    return F.aggregate(bits, F.expr(NO_BITS), lambda a, b: a.bitwiseOR(b))
+
+
+def with_surroundings(found: Column, bits: Column, line_conf: Column | None = None) -> Column:
+    """``found_spans`` with what stands around each span, worked out while the text is at hand.
+
+    ``ctx`` is the union of the context bits of a match's lines and their neighbours,
+    ``near`` the mean confidence of the blocks on those lines (NULL without ``line_conf``).
+    Each line's bits are first joined with its neighbours', so a match looks at one entry.
+    """
+
+    def neighbours(b):
+        side = lambda i: F.coalesce(F.get(b, i), F.expr(NO_BITS))
+        return F.transform(b, lambda x, i: x.bitwiseOR(side(i - 1)).bitwiseOR(side(i + 1)))
+
+    def near(s):
+        if line_conf is None:
+            return F.lit(None).cast("double")
+        lines = slice_around(line_conf, s["line"], s["last_line"])
+        total = F.aggregate(lines, F.lit(0.0), lambda a, c: a + c["total"])
+        return total / F.aggregate(lines, F.lit(0), lambda a, c: a + c["blocks"])
+
+    def span(around, s):
+        one = F.get(around, s["line"])
+        many = _union(F.slice(around, s["line"] + 1, s["last_line"] - s["line"] + 1))
+        ctx = F.when(s["line"] == s["last_line"], one).otherwise(many)
+        return F.struct(
+            *[s[n].alias(n) for n in ("start", "end", "value", "line", "last_line")],
+            F.coalesce(ctx, F.expr(NO_BITS)).alias("ctx"),
+            near(s).alias("near"),
+        )
+
+    names = ["pii_type", "confidence", "masked", "source_rule", "stage", "rule"]
+
+    def each(around):
+        return F.transform(
+            found,
+            lambda c: F.struct(
+                *[c[n].alias(n) for n in names],
+                F.transform(c["spans"], lambda s: span(around, s)).alias("spans"),
+            ),
+        )
+
+    return let(let(bits, neighbours), each)
 
 
 # -- row rules of the contextual kinds ---------------------------------------
@@ -206,9 +247,15 @@ def history_found(text: Column) -> Column:
 def clean_context_rows(rows: DataFrame) -> DataFrame:
     """Row rules on raw contextual matches; ``rows`` carries ``ctx`` (context bits).
 
+    A name is tested and kept without the blanks around it; its span stays as found.
+
     A reference found by several line rules at the same place counts once.
     """
-    stage, value = F.col("ord.stage"), F.col("value")
+    stage = F.col("ord.stage")
+    rows = rows.withColumn(
+        "value", F.when(stage == STAGE_NAME, strip(F.col("value"))).otherwise(F.col("value"))
+    )
+    value = F.col("value")
     bare_number = (stage == STAGE_LINE_REF) & (F.col("ord.rule") == ROW_NUMBER_RULE)
     payment = _has_bits(F.col("ctx"), mask_of(TRANSACTION_KEYWORDS) | (1 << ROW_BIT))
     keep = (
@@ -229,8 +276,10 @@ def clean_context_rows(rows: DataFrame) -> DataFrame:
     )
 
 
-def scan_columns(rules: list[MatchRule], history: bool = True) -> dict[str, Column]:
-    """``found`` (spans of all rules) and ``ctx_bits`` (context bits per line).
+def scan_columns(
+    rules: list[MatchRule], history: bool = True, line_conf: Column | None = None
+) -> dict[str, Column]:
+    """``found``: spans of all rules ``with_surroundings``.
 
     Line bits are only worked out for texts with a run of four digits: every rule
     that asks for them is about such a number.  Needs the columns of ``with_guards``.
@@ -239,13 +288,8 @@ def scan_columns(rules: list[MatchRule], history: bool = True) -> dict[str, Colu
     found = found_spans(rules)
     if history:
         found = F.concat(found, F.array_compact(F.array(history_found(text))))
-    return {"found": found, "ctx_bits": F.when(F.col("_digits") >= 4, line_bits(text))}
-
-
-def with_context_bits(rows: DataFrame) -> DataFrame:
-    """``ctx``: union of the context bits around a match, from the screen's ``ctx_bits``."""
-    around = bits_around(F.col("ctx_bits"), F.col("line"), F.col("last_line"))
-    return rows.withColumn("ctx", F.coalesce(around, F.expr(NO_BITS))).drop("ctx_bits")
+    bits = F.when(F.col("_digits") >= 4, line_bits(text))
+    return {"found": with_surroundings(found, bits, line_conf)}
 
 
 def text_context(screens: DataFrame, stages: list[int] | None = None) -> DataFrame:
@@ -253,7 +297,7 @@ def text_context(screens: DataFrame, stages: list[int] | None = None) -> DataFra
     rules = [r for r in CONTEXT_RULES if stages is None or r.stage in stages]
     columns = scan_columns(rules, stages is None or STAGE_HISTORY in stages)
     scanned = with_guards(screens).select("screen_id", *[c.alias(n) for n, c in columns.items()])
-    rows = with_context_bits(match_rows(scanned, "ctx_bits"))
+    rows = match_rows(scanned, surroundings=("ctx",))
     return clean_context_rows(rows).select("screen_id", *MATCH_COLUMNS)
 
 

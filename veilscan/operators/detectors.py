@@ -141,25 +141,29 @@ MATCH_COLUMNS = [
 ]
 
 
-def match_rows(scanned: DataFrame, *keep: str) -> DataFrame:
+def match_rows(scanned: DataFrame, *keep: str, surroundings: tuple[str, ...] = ()) -> DataFrame:
     """Raw matches of texts whose ``found`` column holds ``found_spans``.
 
     ``ord`` places a match among all of its screen: stage, then line and rule where a
-    stage goes line by line, then offset.
+    stage goes line by line, then offset.  ``surroundings`` are further fields of the
+    spans.  Rows carry scalars only, so a text with many hits makes many small rows.
     """
-    per_rule = explode_rows(scanned, "found", "c", "screen_id", *keep)
-    spans = explode_rows(per_rule, "c.spans", "s", "screen_id", "c", *keep)
-    by_line = F.col("c.stage") == STAGE_LINE_REF
-    return spans.select(
+    scalars = ["pii_type", "confidence", "masked", "source_rule", "stage", "rule"]
+    per_rule = explode_rows(scanned, "found", "c", "screen_id", *keep).select(
+        "screen_id", *keep, *[f"c.{n}" for n in scalars], F.col("c.spans").alias("spans")
+    )
+    rows = explode_rows(per_rule, "spans", "s", "screen_id", *keep, *scalars)
+    by_line = F.col("stage") == STAGE_LINE_REF
+    return rows.select(
         "screen_id",
         F.struct(
-            F.col("c.stage").alias("stage"),
+            "stage",
             F.when(by_line, F.col("s.line")).otherwise(0).alias("line"),
-            F.col("c.rule").alias("rule"),
+            "rule",
             F.col("s.start").alias("start"),
         ).alias("ord"),
-        "c.pii_type", "s.value", "s.start", "s.end", "c.confidence", "c.masked", "c.source_rule",
-        "s.line", "s.last_line", *keep,
+        "pii_type", "s.value", "s.start", "s.end", "confidence", "masked", "source_rule",
+        "s.line", "s.last_line", *[f"s.{n}" for n in surroundings], *keep,
     )
 
 

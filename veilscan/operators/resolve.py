@@ -27,8 +27,6 @@ from veilscan.operators.context import (
     context_has,
     has_transaction_context,
     scan_columns,
-    slice_around,
-    with_context_bits,
 )
 from veilscan.operators.detectors import (
     DETECTOR_RULES,
@@ -51,11 +49,8 @@ def scan_text(screens: DataFrame) -> DataFrame:
     ``screens`` may carry ``line_conf`` (per line: sum of block confidences, number of
     blocks); otherwise a line's confidence is that of its screen.
     """
-    if "line_conf" not in screens.columns:
-        screens = screens.withColumn(
-            "line_conf", F.lit(None).cast("array<struct<total:double,blocks:int>>")
-        )
-    keep = [c for c in screens.columns if c != "full_text"]
+    line_conf = F.col("line_conf") if "line_conf" in screens.columns else None
+    keep = [c for c in screens.columns if c not in ("full_text", "line_conf")]
     # The guards' keyword search also finds the catalogue's, unless folding changed the text.
     guarded = with_guards(screens, ALL_KEYWORDS)
     hits = F.when(F.col("_fold") == F.col("_lower"), F.col("_words")).otherwise(
@@ -63,7 +58,7 @@ def scan_text(screens: DataFrame) -> DataFrame:
     )
     columns = {
         "hits": F.col("hits"),
-        **scan_columns([*DETECTOR_RULES, *CONTEXT_RULES]),
+        **scan_columns([*DETECTOR_RULES, *CONTEXT_RULES], line_conf=line_conf),
         **fact_columns(),
         **app_name_columns(),
     }
@@ -75,12 +70,9 @@ def scanned_matches(scanned: DataFrame, layout: DataFrame | None = None) -> Data
 
     One shuffle by screen serves all of it and everything after.
     """
-    rows = with_context_bits(match_rows(scanned, "ctx_bits", "line_conf", "avg_confidence"))
-    near = slice_around(F.col("line_conf"), F.col("line"), F.col("last_line"))
-    total = F.aggregate(near, F.lit(0.0), lambda a, c: a + c["total"])
-    blocks = F.aggregate(near, F.lit(0), lambda a, c: a + c["blocks"])
-    measured = rounded(F.coalesce(total / blocks, F.col("avg_confidence")), 4)
-    rows = rows.withColumn("ocr_confidence", measured).drop("line_conf", "avg_confidence")
+    rows = match_rows(scanned, "avg_confidence", surroundings=("ctx", "near"))
+    measured = rounded(F.coalesce("near", "avg_confidence"), 4)
+    rows = rows.withColumn("ocr_confidence", measured).drop("near", "avg_confidence")
     return combine_layout(clean_context_rows(suppress_overlaps(rows.repartition("screen_id"))), layout)
 
 

@@ -215,7 +215,8 @@ DATED = q("(?i)" + c.DATED_LINE_PATTERN)
 part("ctx_history", "scr doctype lines", f"""SELECT screen_id, 0 AS s, length(full_text) AS e, concat(n, ' transaction rows detected') AS value
     FROM scr JOIN doctype USING (screen_id) JOIN (SELECT screen_id, count(*) AS n FROM lines WHERE regexp_matches(text, {DATED}) GROUP BY screen_id) USING (screen_id)
     WHERE n >= 3 AND document_type IN {inlist(c.HISTORY_DOCUMENT_TYPES)}""")
-part("ctx_name", "scr", f"""SELECT * FROM ({spans_sql(in_line(c.CAPITAL_NAME_PATTERN), False)}) WHERE len(string_split_regex(value, '\\s+')) >= 2
+STRIPPED = "regexp_replace(value, '^\\s+|\\s+$', '', 'g')"
+part("ctx_name", "scr", f"""SELECT * FROM (SELECT screen_id, s, e, {STRIPPED} AS value FROM ({spans_sql(in_line(c.CAPITAL_NAME_PATTERN), False)})) WHERE len(string_split_regex(value, '\\s+')) >= 2
     AND regexp_replace(upper(value), '[ .\\-X*]', '', 'g') <> '' AND value NOT IN {inlist(c.NAME_STOP_PHRASES)}
     AND NOT list_has_any(string_split_regex(value, '\\s+'), {lst(c.NAME_FORBIDDEN_TOKENS)})""")
 part("ctx_amount", "scr", spans_sql(c.AMOUNT_PATTERN, True))

@@ -71,7 +71,7 @@ def audit(
     cands = candidates(evidence(scanned_matches(scanned, layout)))
     entities = resolve_with_fallback(cands) if decisions is None else resolve_entities(cands, decisions)
     entities = keep(entities, "entities")
-    facts = scanned.drop("found", "ctx_bits", "line_conf")
+    facts = scanned.drop("found")
     features = rule_features(facts, entities)
     return Audit(scanned, cands, entities, features, verdict_rows(features))
 
