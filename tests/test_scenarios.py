@@ -1,4 +1,4 @@
-"""Screens given as blocks, through both routes; names and numbers are invented."""
+"""Screens given as blocks, from blocks to entities; layouts, names and numbers are made up here."""
 
 import pytest
 from helpers import block_table
@@ -7,29 +7,32 @@ from pyspark.sql import functions as F
 from veilscan.functions.verhoeff import verhoeff_valid
 from veilscan.operators import layout, resolve, structure
 
-SUMMARY = [
-    ("Statement of Account", 22, 248, 188, 268), ("Account Number", 22, 288, 130, 304), ("Customer ID", 578, 284, 666, 300),
-    ("ASHA", 22, 314, 74, 332), ("VERMA", 82, 314, 138, 332), ("B40417203", 578, 310, 666, 328),
-    ("0410022000031177", 22, 340, 202, 360), ("Branch Name", 22, 378, 118, 396), ("IFSC Code", 578, 378, 658, 396),
-    ("HILLTOP", 22, 408, 105, 426), ("VALLEY,", 112, 408, 178, 426), ("NORTHSIDE", 186, 408, 276, 426),
-    ("ABCD0000123", 578, 408, 694, 426), ("Account Balance", 22, 476, 146, 494), ("Available Balance", 578, 476, 720, 494),
-    ("Rs 79.74", 22, 504, 92, 524), ("Rs 79.74", 578, 504, 648, 524), ("Mini Statement", 492, 640, 620, 664),
-    ("12-May-26", 22, 742, 102, 762), ("UPI/SIBL/700844712631/LAKE STORE...", 22, 770, 390, 790), ("-Rs 17", 1030, 770, 1078, 790),
-    ("11-May-26", 22, 850, 102, 870), ("UPI/UBIN/700745822142/MEERA K/UPI", 22, 878, 380, 898), ("+ Rs 66", 1018, 878, 1078, 898),
-    ("09-May-26", 22, 970, 102, 990), ("UPI/SIBL/700972952283/ASHA VERMA/...", 22, 998, 390, 1018), ("-Rs 3,599", 998, 998, 1078, 1018),
+# A form: every value close to the right of its label; a remark below it in small print.
+FORM = [
+    ("Customer ID", 50, 60, 150, 80), ("KX4471902", 162, 61, 257, 81),
+    ("Acct No", 50, 160, 118, 180), ("99120345678001", 130, 160, 262, 180),
+    ("IFSC", 50, 260, 92, 280), ("WXYZ0471100", 104, 260, 214, 280),
+    ("Branch", 50, 360, 110, 380), ("LOWER", 122, 360, 178, 380), ("MARKET", 185, 360, 252, 380),
+    ("Ledger Balance", 50, 460, 168, 480), ("Rs 6,205.18", 180, 460, 278, 480),
+    ("MEENA", 50, 560, 108, 580), ("IYER", 115, 560, 152, 580),
+    ("kept for your records", 50, 660, 205, 672),
 ]
-UPI_ROW = [("09-May-26", 10, 10, 90, 30), ("UPI/SIBL/234567890124/ASHA VERMA/", 10, 40, 360, 60), ("-Rs 3599", 450, 40, 520, 60)]
+# Cards side by side: values stand below their labels.
+CARDS = [
+    ("Account Balance", 30, 30, 155, 50), ("Cust ID", 420, 30, 485, 50),
+    ("Rs 411.09", 30, 58, 110, 78), ("QT8800417", 420, 58, 505, 78),
+    ("Transaction History", 200, 150, 352, 172),
+    ("03-Mar-25", 30, 220, 108, 239), ("NEFT", 140, 220, 180, 239), ("/", 183, 220, 188, 239), ("HDFC", 191, 220, 233, 239),
+    ("/", 236, 220, 241, 239), ("510477230981", 244, 220, 350, 239), ("/RENT", 353, 220, 400, 239), ("-Rs 900", 560, 220, 620, 239),
+]
+ROW = [("14-Feb-25", 20, 15, 101, 33), ("UPI/UTIB/234567890124/GREEN GROCER/", 120, 15, 480, 33), ("-Rs 260", 600, 15, 660, 33)]
 SCREENS = {
-    1: SUMMARY,
-    2: UPI_ROW,
-    3: [("Account Number", 10, 10, 120, 30), ("0410022000031177", 10, 34, 200, 54), ("12-May-26", 10, 120, 90, 140),
-        ("UPI/SIBL/", 10, 148, 95, 168), ("700844712631", 97, 148, 200, 168), ("/LAKE STORE CO...", 202, 148, 360, 168),
-        ("-₹ 17", 450, 148, 500, 168), ("08-May-26", 10, 270, 90, 290), ("UPI/SIBL/700846027772/RAVI", 10, 298, 250, 318),
-        ("KUMAR/UPI", 252, 298, 340, 318), ("-₹ 165", 450, 298, 520, 318)],
-    4: [("11-May-26", 10, 10, 90, 30), ("UPI", 10, 36, 40, 56), ("/", 41, 36, 46, 56), ("UBIN", 47, 36, 85, 56), ("/", 86, 36, 91, 56),
-        ("700745822142", 92, 36, 200, 56), ("/", 201, 36, 206, 56), ("MEERA K", 207, 36, 300, 56), ("/UPI", 301, 36, 340, 56)],
-    5: [("Aadhaar Number", 10, 10, 140, 30), ("234567890124", 150, 10, 270, 30)],
-    6: [("700100200302", 10, 10, 140, 30)],
+    1: FORM,
+    2: CARDS,
+    3: ROW,
+    4: [("Aadhaar", 15, 22, 80, 42), ("234567890124", 95, 22, 214, 42)],
+    5: [("700100200302", 15, 22, 134, 42)],
+    6: [(f"row{i}", 10 + 40 * (i % 7), 4 * i, 45 + 40 * (i % 7), 4 * i + 12) for i in range(60)],
 }
 
 
@@ -40,95 +43,84 @@ def tables(spark):
     screens = structure.structured_screens(lines)
     raw = resolve.raw_matches(screens, layout.layout_entities(lines, screens)).persist()
     cands = resolve.candidates(resolve.evidence(raw)).persist()
-    deterministic = resolve.deterministic_entities(raw).collect()
-    return {"blocks": blocks, "lines": lines, "raw": raw, "cands": cands, "deterministic": deterministic}
-
+    return {"blocks": blocks, "lines": lines, "raw": raw, "cands": cands, "entities": resolve.deterministic_entities(raw).collect()}
 
-def entities_of(tables, screen):
-    return [e for e in tables["deterministic"] if e.screen_id == screen]
 
+def values(tables, screen, kind):
+    found = [e for e in tables["entities"] if e.screen_id == screen and e.pii_type == kind]
+    return [e.value for e in sorted(found, key=lambda e: e.entity_rank)]
 
-def test_layout_separates_ids_names_and_amounts(tables):
-    by_type = {}
-    for e in sorted(entities_of(tables, 1), key=lambda e: e.entity_rank):
-        by_type.setdefault(e.pii_type, []).append(e)
-    assert by_type["CUSTOMER_ID"][0].value == "B40417203"
-    assert by_type["ACCOUNT_HOLDER_NAME"][0].value == "ASHA VERMA"
-    assert by_type["BANK_ACCOUNT"][0].value == "0410022000031177"
-    assert by_type["IFSC"][0].value == "ABCD0000123"
-    assert by_type["BRANCH_NAME"][0].value == "HILLTOP VALLEY, NORTHSIDE"
-    assert any(e.value == "79.74" for e in by_type["ACCOUNT_BALANCE"])
-    assert "TRANSACTION_HISTORY" in by_type
-    assert by_type["CUSTOMER_ID"][0].source_rule == "LayoutMapping"
-    assert by_type["CUSTOMER_ID"][0].confidence >= 0.85
-    assert not {"ASHA", "ASHA VERMA"} & {e.value for e in by_type["CUSTOMER_ID"]}
 
+@pytest.mark.parametrize(("screen", "kind", "value"), [
+    (1, "CUSTOMER_ID", "KX4471902"), (1, "BANK_ACCOUNT", "99120345678001"), (1, "IFSC", "WXYZ0471100"),
+    (1, "ACCOUNT_BALANCE", "6205.18"), (2, "CUSTOMER_ID", "QT8800417"),
+    (2, "ACCOUNT_BALANCE", "411.09"), (2, "TRANSACTION_REFERENCE", "510477230981"), (3, "TRANSACTION_REFERENCE", "234567890124"),
+    (4, "AADHAAR_UNMASKED", "234567890124"),
+])
+def test_values_found(tables, screen, kind, value):
+    assert value in values(tables, screen, kind)
 
-def test_rows_columns_and_cells(tables):
-    lines = tables["lines"].filter("screen_id = 1")
-    columns = structure.cluster_columns(tables["blocks"].filter("screen_id = 1"))
-    assert lines.count() >= 8 and columns.count() >= 2
-    cells = structure.row_cells(lines, columns).collect()
-    assert len(cells) == len(SUMMARY) and all(c.column_index is not None for c in cells)
-    assert any(c.text == "Customer ID" for c in cells)
 
-
-def test_layout_decisions_list_rejected_names(tables):
-    row = layout.layout_decisions(tables["lines"].filter("screen_id = 1")).filter("entity_type = 'CUSTOMER_ID'").first()
-    assert row.selected_value == "B40417203" and row.candidate_count > 1
-    names = [x for x in row.candidates if x.candidate_text in ("ASHA", "ASHA VERMA")]
-    assert names and all(n.rejected for n in names)
+def test_values_kept_apart(tables):
+    assert not {"MEENA", "MEENA IYER", "LOWER MARKET"} & set(values(tables, 1, "CUSTOMER_ID"))
+    assert values(tables, 3, "AADHAAR_UNMASKED") == [] and values(tables, 5, "AADHAAR_UNMASKED") == []
+    mapped = [e for e in tables["entities"] if e.screen_id == 1 and e.value == "KX4471902"]
+    assert mapped[0].source_rule == "LayoutMapping" and mapped[0].confidence >= 0.85
 
 
-def test_candidates_keep_both_readings(tables):
-    row = tables["cands"].filter("screen_id = 2 AND value = '234567890124'").first()
-    confidence = {e.pii_type: -e.negative for e in reversed(row.evidence)}
-    assert confidence["TRANSACTION_REFERENCE"] > confidence["AADHAAR_UNMASKED"]
+def test_one_value_in_two_readings(tables):
+    row = tables["cands"].filter("screen_id = 3 AND value = '234567890124'").first()
+    best = {e.pii_type: -e.negative for e in reversed(row.evidence)}
+    assert best["TRANSACTION_REFERENCE"] > best["AADHAAR_UNMASKED"]
 
 
-def test_decision_overrides(spark, tables):
+def test_external_decision_wins(spark, tables):
     decisions = spark.createDataFrame(
-        [(2, "234567890124", "TRANSACTION_REFERENCE", 0.93, "row")],
-        "screen_id long, value string, final_type string, confidence double, reasoning string",
-    )
-    found = resolve.resolve_entities(tables["cands"], decisions).filter("screen_id = 2").collect()
-    ref = next(e for e in found if e.value == "234567890124")
-    assert (ref.pii_type, ref.source_rule) == ("TRANSACTION_REFERENCE", "HybridAIResolution")
-    assert not any(e.pii_type == "AADHAAR_UNMASKED" for e in found)
+        [(3, "234567890124", "TRANSACTION_REFERENCE", 0.9, "a payment row")],
+        "screen_id long, value string, final_type string, confidence double, reasoning string")
+    found = [e for e in resolve.resolve_entities(tables["cands"], decisions).collect() if e.screen_id == 3 and e.value == "234567890124"]
+    assert [(e.pii_type, e.source_rule) for e in found] == [("TRANSACTION_REFERENCE", "HybridAIResolution")]
 
 
 def test_fallback_equals_joined_fallback_decisions(tables):
-    cands = tables["cands"]
-    columns = ["screen_id", "entity_rank", "pii_type", "value", "confidence", "source_rule"]
+    cands, columns = tables["cands"], ["screen_id", "entity_rank", "pii_type", "value", "confidence", "source_rule"]
     joined = resolve.resolve_entities(cands, resolve.fallback_decisions(cands)).select(*columns)
     inline = resolve.resolve_with_fallback(cands).select(*columns)
     assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, inline.collect()))
 
 
-def test_statement_references(tables):
-    found = entities_of(tables, 3)
-    refs = {e.value for e in found if e.pii_type == "TRANSACTION_REFERENCE"}
-    assert {"700844712631", "700846027772"} <= refs
-    assert next(e for e in found if e.value == "0410022000031177").pii_type == "BANK_ACCOUNT"
+def test_cells_have_columns(tables):
+    for screen, blocks in ((1, FORM), (2, CARDS)):
+        columns = structure.cluster_columns(tables["blocks"].filter(F.col("screen_id") == screen))
+        cells = structure.row_cells(tables["lines"].filter(F.col("screen_id") == screen), columns).collect()
+        assert columns.count() >= 2 and len(cells) == len(blocks) and all(c.column_index is not None for c in cells)
 
 
-def test_split_row_keeps_its_chain(tables):
-    ref = next(e for e in entities_of(tables, 4) if e.value == "700745822142")
-    assert ref.pii_type == "TRANSACTION_REFERENCE"
-    near = structure.span_to_lines(tables["raw"].filter("screen_id = 4 AND value = '700745822142'"), tables["lines"])
-    assert "UBIN" in near.first().context_text
+def test_narrow_blocks_make_one_chain(tables):
+    row = tables["raw"].filter("screen_id = 2 AND value = '510477230981'")
+    assert "NEFT/HDFC/510477230981/RENT" in structure.span_to_lines(row, tables["lines"]).first().context_text
 
 
-def test_aadhaar_needs_label_and_checksum(tables):
-    labelled = next(e for e in entities_of(tables, 5) if e.value == "234567890124")
-    assert labelled.pii_type == "AADHAAR_UNMASKED" and labelled.aadhaar_checksum_valid
-    in_row = [e for e in entities_of(tables, 2) if e.value == "234567890124"]
-    assert [e.pii_type for e in in_row] == ["TRANSACTION_REFERENCE"]
-    assert not [e for e in entities_of(tables, 6) if e.value == "700100200302"]
+def test_dense_run_follows_the_running_mean(tables):
+    # A block joins the line while it is within the threshold of the mean of the line's centres so far.
+    heights, centre = 12.0, [4 * i + 6.0 for i in range(60)]
+    reach, lines = max(10.0, heights * 0.65), [[centre[0]]]
+    for c in centre[1:]:
+        if abs(c - sum(lines[-1]) / len(lines[-1])) <= reach:
+            lines[-1].append(c)
+        else:
+            lines.append([c])
+    got = tables["lines"].filter("screen_id = 6").orderBy("line_index").collect()
+    assert [len(r.block_indices) for r in got] == [len(x) for x in lines]
+
+
+def test_layout_decisions_list_what_was_rejected(tables):
+    row = layout.layout_decisions(tables["lines"].filter("screen_id = 1")).filter("entity_type = 'CUSTOMER_ID'").first()
+    assert row.selected_value == "KX4471902" and row.candidate_count > 1
+    assert any(x.rejected for x in row.candidates)
 
 
 def test_verhoeff(spark):
-    values = ["234567890124", "700100200301", "700100200302", "222222222222"]
-    table = spark.createDataFrame([(v,) for v in values], "v string")
-    got = {r.v: r.ok for r in table.select("v", verhoeff_valid(F.col("v")).alias("ok")).collect()}
-    assert got == dict(zip(values, [True, True, False, False]))
+    listed = {"234567890124": True, "700100200301": True, "700100200302": False, "222222222222": False}
+    table = spark.createDataFrame([(v,) for v in listed], "v string")
+    assert {r.v: r.ok for r in table.select("v", verhoeff_valid(F.col("v")).alias("ok")).collect()} == listed

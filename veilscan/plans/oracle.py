@@ -439,7 +439,7 @@ part("ropa", "merged sess_cats", f"""SELECT *, 'The ' || process || ' process wi
 # -- blocks ---------------------------------------------------------------------------
 _records = []
 for n, (text, x1, y1, x2, y2, when) in enumerate(BLOCK_TEMPLATE):
-    text = text.replace("concat('UPI/UBIN/', o2, '/SHAUN/UPI')", "'UPI/UBIN/' || o2 || '/SHAUN/UPI'")
+    text = text.replace("concat('UPI/HDFC/', o2, '/LEELA/UPI')", "'UPI/HDFC/' || o2 || '/LEELA/UPI'")
     rec = (f"{{'block_index': {n}, 'text': CAST({text} AS VARCHAR), 'x1': CAST({x1} AS DOUBLE), 'y1': CAST({y1} AS DOUBLE), "
            f"'x2': CAST({x2} AS DOUBLE), 'y2': CAST({y2} AS DOUBLE)}}")
     _records.append(f"CASE WHEN {when} THEN {rec} END" if when else rec)

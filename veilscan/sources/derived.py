@@ -36,7 +36,7 @@ TEMPLATE_LINES = [
     ["'Card details'",
      "CASE WHEN clean THEN concat('XXXX XXXX XXXX ', four) ELSE concat('4111 2222 ', four, '-', right(nine, 4)) END",
      "'Expiry 12/2030'", "CASE WHEN odd THEN 'CVV: 123' END", "'SIGNATURE PANEL'"],
-    ["'Fund transfer'", "'Beneficiary'", "concat('IFSC ABCD0', six)", "'Allow contacts'",
+    ["'Fund transfer'", "'Beneficiary'", "'RAVI KUMAR said so'", "'SHARE RECEIPT now'", "concat('IFSC ABCD0', six)", "'Allow contacts'",
      "concat('neft/ABC/', '77', nine)", "CASE WHEN odd THEN 'Religion' END",
      "concat('Voter XYZ1', six)", "concat('DL KA01 2011 1', six)",
      "CASE WHEN odd AND clean THEN 'Fingerprint' END"],
@@ -49,9 +49,9 @@ TEMPLATE_LINES = [
      "concat('Customer ID: CU', six)", "CASE WHEN odd THEN 'Complaint desk' END"],
     ["'Loan summary'", "'EMI amount Rs 5,000'", "'Repayment'", "'Insurance policy'",
      "concat('Ledger balance: INR ', money)", "concat('Total 33', money)"],
-    ["'Video KYC'", "'Face capture'", "'Fingerprint'", "CASE WHEN clean THEN 'I agree' END",
+    ["'Video KYC'", "'Face capture and selfie photo'", "'Fingerprint'", "CASE WHEN clean THEN 'I agree' END",
      "CASE WHEN clean THEN 'Fingerprint scan' END", "'Voice auth by call recording'"],
-    ["'Terms and conditions'", "'I agree to all terms'", "'We collect data'",
+    ["'Terms and conditions'", "'I agree to all terms'", "'We collect data by CCTV'", "'ACCOUNT NUMBER is kept'",
      "CASE WHEN clean THEN 'Purpose: account services' END",
      "CASE WHEN clean THEN 'Right to withdraw consent' END"],
     ["'Sponsored offer'", "'Partner deal'", "concat('Balance Rs ', money)",
@@ -150,38 +150,55 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# Block layout of one account-summary screen per customer:
-# (text, x1, y1, x2, y2, only when).  dx and dy move with the customer.
+# Block layouts, one per customer: (text, x1, y1, x2, y2, only when).  dx and dy move with the
+# customer.  Even ones get a passbook page with each value right of its label, odd ones
+# a card whose values stand below their labels in two columns; both end with entries,
+# some of them cut in many narrow blocks.
 BLOCK_TEMPLATE = [
-    ("'Statement of Account'", "22 + dx", "248 + dy", "188 + dx", "268 + dy", None),
-    ("'Account Number'", "22", "288", "130", "304", None),
-    ("CASE WHEN odd THEN 'Cust ID' ELSE 'Customer ID' END", "578", "284", "666", "300", "k % 11 <> 0"),
-    ("'ASHA'", "22", "314", "74", "332", "k % 5 <> 1"),
-    ("'VERMA'", "82 + dx", "314", "138 + dx", "332", "k % 5 <> 1"),
-    ("concat('B', nine)", "578", "310", "666", "328", None),
-    ("concat('0410022', nine)", "22", "340", "202", "360", None),
-    ("'Branch Name'", "22", "378", "118", "396", None),
-    ("'IFSC Code'", "578 + dx", "378", "658 + dx", "396", None),
-    ("'HILLTOP'", "22", "408", "105", "426", None),
-    ("'VALLEY,'", "112", "408", "178", "426", None),
-    ("'NORTHSIDE'", "186", "408", "276", "426", "NOT clean"),
-    ("concat('ABCD0', six)", "578", "408", "694", "426", None),
-    ("'Account Balance'", "22", "476", "146", "494", None),
-    ("'Available Balance'", "578", "476", "720", "494", "odd"),
-    ("concat('Rs ', money)", "22", "504", "92", "524", None),
-    ("concat('Rs 33', money)", "578", "504", "648", "524", "odd"),
-    ("'Mini Statement'", "492", "640", "620", "664", "k % 3 <> 0"),
-    ("d1", "22", "742", "102", "762", "d1 IS NOT NULL"),
-    ("'UPI'", "22", "770", "52", "790", "d1 IS NOT NULL"),
-    ("'/'", "53", "770", "58", "790", "d1 IS NOT NULL"),
-    ("'SIBL'", "59", "770", "97", "790", "d1 IS NOT NULL"),
-    ("'/'", "98", "770", "103", "790", "d1 IS NOT NULL"),
-    ("o1", "104", "770", "212", "790", "d1 IS NOT NULL"),
-    ("'/PAY'", "214", "770 + dy", "260", "790 + dy", "d1 IS NOT NULL"),
-    ("'-Rs 17'", "1030", "770", "1078", "790", None),
-    ("d2", "22", "850", "102", "870", "d2 IS NOT NULL"),
-    ("concat('UPI/UBIN/', o2, '/SHAUN/UPI')", "22", "878", "380", "898", "d2 IS NOT NULL"),
-    ("'+ Rs 66'", "1018", "878", "1078", "898", None),
+    ("'Savings passbook'", "36", "40 + dy", "214", "66 + dy", "NOT odd"),
+    ("'Customer ID'", "36", "96", "141", "117", "NOT odd AND k % 11 <> 0"),
+    ("concat('C', nine)", "262 + dx", "97", "371 + dx", "118", "NOT odd AND k % 11 <> 0"),
+    ("'Account Number'", "36", "131", "158", "152", "NOT odd"),
+    ("concat('5120', nine, '77')", "262 + dx", "131", "421 + dx", "152", "NOT odd"),
+    ("'IFSC Code'", "36", "167", "117", "188", "NOT odd AND k % 3 <> 0"),
+    ("concat('LMNO0', six)", "262", "167 + dy", "378", "188 + dy", "NOT odd AND k % 3 <> 0"),
+    ("'Available Balance'", "36", "205", "170", "226", "NOT odd"),
+    ("concat('Rs ', money)", "262", "205", "350", "226", "NOT odd"),
+    ("'LEELA'", "36", "252", "92", "273", "NOT odd AND k % 5 <> 1"),
+    ("'NAIR'", "99 + dx", "252", "146 + dx", "273", "NOT odd AND k % 5 <> 1"),
+    ("'My card'", "300", "18", "372", "44", "odd"),
+    ("'Branch Name'", "44", "80", "146", "100", "odd"),
+    ("'Account Balance'", "402 + dx", "80", "527 + dx", "100", "odd"),
+    ("'RIVER'", "44", "109", "96", "129", "odd"),
+    ("'ROAD,'", "103", "109", "152", "129", "odd"),
+    ("'EASTGATE'", "159", "109", "247", "129", "odd AND NOT clean"),
+    ("concat('Rs 33', money)", "402 + dx", "109", "511 + dx", "129", "odd"),
+    ("'Cust ID'", "44", "163", "112", "183", "odd AND k % 11 <> 1"),
+    ("'Account No'", "402", "163 + dy", "494", "183 + dy", "odd"),
+    ("concat('D', nine)", "44", "192", "152", "212", "odd AND k % 11 <> 1"),
+    ("concat('66', nine, '01')", "402", "192 + dy", "531", "212 + dy", "odd"),
+    ("'OMAR'", "44", "246", "97", "266", "odd AND k % 5 <> 2"),
+    ("'DAS'", "104", "246", "140", "266", "odd AND k % 5 <> 2"),
+    ("'IFSC'", "402", "246", "446", "266", "odd"),
+    ("concat('PQRS0', six)", "402", "275", "517", "295", "odd"),
+    ("'Mini Statement'", "240", "352", "371", "378", "k % 3 <> 0"),
+    ("d1", "52", "420", "137", "439", "d1 IS NOT NULL"),
+    ("'UPI'", "160", "420", "188", "439", "d1 IS NOT NULL"),
+    ("'/'", "190", "420", "195", "439", "d1 IS NOT NULL"),
+    ("'UTIB'", "197", "420", "237", "439", "d1 IS NOT NULL"),
+    ("'/'", "239", "420", "244", "439", "d1 IS NOT NULL"),
+    ("o1", "246", "420 + dy", "361", "439 + dy", "d1 IS NOT NULL"),
+    ("'/TEA STALL'", "364", "421", "452", "440", "d1 IS NOT NULL"),
+    ("'-Rs 48'", "596", "420", "650", "439", None),
+    ("d2", "52", "467", "137", "486", "d2 IS NOT NULL"),
+    ("concat('UPI/HDFC/', o2, '/LEELA/UPI')", "160", "468", "455", "487", "d2 IS NOT NULL"),
+    ("'+ Rs 905'", "584", "467 + dy", "650", "486 + dy", None),
+    # A dense run: every line a few pixels below the one before.
+    ("'total'", "52", "520", "90", "532", "k % 4 = 1"),
+    ("'of'", "120", "525", "134", "537", "k % 4 = 1"),
+    ("'both'", "160", "530", "190", "542", "k % 4 = 1"),
+    ("'entries'", "220", "535", "268", "547", "k % 4 = 1"),
+    ("'Rs 953'", "300", "540", "350", "552", "k % 4 = 1"),
 ]
 LAYOUT_FIELDS_SQL = "k % 5 * 3 AS dx, k % 7 AS dy"
 
