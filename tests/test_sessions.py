@@ -93,9 +93,17 @@ def test_streams(spark, tmp_path):
     running = streams.stream_dedup(stream()).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start(kept)
     running.awaitTermination(120)
     assert spark.read.parquet(kept).count() == 2
-    swept = []
-    running = streams.stream_retention(stream(), lambda df, i: swept.append(df.count()), str(tmp_path / "c3"), every="1 seconds").start()
+    store, clock = str(tmp_path / "standing"), F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-01 00:10:00").cast("timestamp")))
+    running = streams.stream_retention(stream(), store, str(tmp_path / "c3"), every="1 seconds", now=lambda: clock).start()
     running.processAllAvailable()
     running.stop()
-    assert swept[0] == 0
+    # Kept by one sweep, gone after the next; what is deleted is deleted from the store.
+    assert spark.read.parquet(store).count() == table.count()
+    oldest = table.agg(F.min("uploaded_at")).first()[0]
+    later = F.lit(oldest).cast("timestamp") + F.expr("interval 15 minutes 1 second")
+    streams.sweep_store(spark, store, later)
+    left = table.filter(F.col("uploaded_at") > F.lit(oldest)).count()
+    assert spark.read.schema(table.schema).parquet(store).count() == left < table.count()
+    streams.sweep_store(spark, store, later + F.expr("interval 3 days"))
+    assert spark.read.schema(table.schema).parquet(store).count() == 0
     assert streams.stream_dedup(table).count() == 2

@@ -355,8 +355,8 @@ def layout_entities(lines: DataFrame, screens: DataFrame) -> DataFrame:
     )
 
 
-def layout_decisions(lines: DataFrame, top: int = 25) -> DataFrame:
-    """Per label: number of candidates, the ``top`` ranked ones, and the selected one.
+def layout_decisions(lines: DataFrame, top: int | None = None) -> DataFrame:
+    """Per label: number of candidates, the ranked ones (all, or the ``top``), and the selected one.
 
     A report of everything considered, so a label is scored against all segments of
     its screen; they travel as one array and no row is made per pair.
@@ -397,7 +397,7 @@ def layout_decisions(lines: DataFrame, top: int = 25) -> DataFrame:
     return staged.select(
         "screen_id", "entity_type", "label", "label_line", "label_first", "label_size",
         F.size("ranked").alias("candidate_count"),
-        F.slice("ranked", 1, top).alias("candidates"),
+        (F.slice("ranked", 1, top) if top else F.col("ranked")).alias("candidates"),
         F.when(~best["rejected"], best["value"]).alias("selected_value"),
         F.when(~best["rejected"], -best["negative_combined"]).alias("selected_confidence"),
     )

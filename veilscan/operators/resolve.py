@@ -158,7 +158,7 @@ def usable_decisions(decisions: DataFrame) -> DataFrame:
     """Decisions keyed by value; blank and ignored ones dropped, the last per value wins.
 
     ``decisions``: ``screen_id, value, final_type, confidence, reasoning`` and optionally
-    ``position`` (order within the screen).
+    ``position`` (order within the screen).  Equal positions are told apart by the whole decision.
     """
     if "position" not in decisions.columns:
         decisions = decisions.withColumn("position", F.lit(0))
@@ -172,7 +172,10 @@ def usable_decisions(decisions: DataFrame) -> DataFrame:
         "position",
     ).filter((F.col("value") != "") & (F.col("final_type") != "") & ~F.col("final_type").isin(IGNORED_DECISIONS))
     return named.groupBy("screen_id", normalised_value(F.col("value")).alias("value_key")).agg(
-        F.max_by(F.struct("value", "final_type", "confidence", "reasoning"), "position").alias("decision")
+        F.max_by(
+            F.struct("value", "final_type", "confidence", "reasoning"),
+            F.struct("position", "confidence", "final_type", "value", "reasoning"),
+        ).alias("decision")
     ).select("screen_id", "value_key", "decision.*")
 
 
@@ -181,14 +184,17 @@ DECISION_JSON = (
 )
 
 
-def normalise_decisions(json_df: DataFrame, column: str = "payload") -> DataFrame:
+def normalise_decisions(
+    json_df: DataFrame, column: str = "payload", max_items: int | None = None, max_reasoning: int | None = None
+) -> DataFrame:
     """Decisions from JSON documents: at most 100 per screen, types checked, texts cut."""
     parsed = json_df.select("screen_id", F.from_json(column, DECISION_JSON).alias("d"))
     items = F.transform(
-        F.slice("d.entity_classifications", 1, 100),
+        F.slice("d.entity_classifications", 1, max_items) if max_items else F.col("d.entity_classifications"),
         lambda e, i: F.struct(i.alias("position"), e.alias("e")),
     )
     rows = explode_rows(parsed.select("screen_id", items.alias("items")), "items", "x", "screen_id")
+    reasoning = F.coalesce(F.col("x.e.reasoning"), F.lit(""))
     kind = F.upper(F.coalesce(F.col("x.e.final_type"), F.lit("IGNORE")))
     score = F.coalesce(F.col("x.e.confidence").try_cast("double"), F.lit(0.0))
     return rows.select(
@@ -197,7 +203,7 @@ def normalise_decisions(json_df: DataFrame, column: str = "payload") -> DataFram
         strip(F.coalesce(F.col("x.e.value"), F.lit(""))).alias("value"),
         F.when(kind.isin(DECISION_TYPES), kind).otherwise("IGNORE").alias("final_type"),
         rounded(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 4).alias("confidence"),
-        F.substring(F.coalesce(F.col("x.e.reasoning"), F.lit("")), 1, 1000).alias("reasoning"),
+        (F.substring(reasoning, 1, max_reasoning) if max_reasoning else reasoning).alias("reasoning"),
     )
 
 

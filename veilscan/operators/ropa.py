@@ -229,7 +229,7 @@ def inferred_fields() -> dict[str, Column]:
             F.concat(F.lit("Processing personal data for "), told),
         ),
         "description": F.coalesce(
-            F.when(F.col("ai_summary") != "", F.substring("ai_summary", 1, 500)),
+            F.when(F.col("ai_summary") != "", F.col("ai_summary")),
             F.when(process != "", described), F.lit(""),
         ),
         "data_source": _by_screen(SCREEN_SOURCES, DEFAULT_SOURCE),

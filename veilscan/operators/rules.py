@@ -245,7 +245,7 @@ RULES = [
           lambda: conflict().isNotNull(), lambda: conflict_ids(conflict()),
           lambda: F.concat(
               F.lit("Conflicting "), conflict()["pii_type"], F.lit(" values on same screen: "),
-              F.array_join(F.slice(conflict()["values"], 1, 3), ", "), F.lit("."))),
+              F.array_join(conflict()["values"], ", "), F.lit("."))),
 ]
 RULE_BY_ID = {r.rule_id: r for r in RULES}
 RULE_ORDER = {rule_id: i for i, (rule_id, _) in enumerate(RULE_SCREENS)}

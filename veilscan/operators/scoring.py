@@ -205,8 +205,13 @@ def json_body(raw: Column) -> Column:
     )
 
 
-def _cut(text: Column, length: int, default: str = "") -> Column:
-    return F.substring(F.coalesce(text, F.lit(default)), 1, length)
+#: Limits that a report with little room may ask for: characters of each text, entries of each list.
+REPORT_LIMITS = {
+    "act_section": 50, "section_title": 100, "pii_involved": 8, "finding": 300, "category": 80,
+    "penalty_reference": 100, "ai_summary": 600, "purpose_assessment": 600, "violation_details": 20,
+    "recommendations": 12, "recommendation": 300, "observations": 12, "observation": 300,
+    "limitations": 8, "limitation": 200,
+}
 
 
 def _level(text: Column, default: Column) -> Column:
@@ -214,46 +219,56 @@ def _level(text: Column, default: Column) -> Column:
     return F.when(level.isin("CRITICAL", "HIGH", "MEDIUM", "LOW"), level).otherwise(default)
 
 
-def normalise_analysis(json_df: DataFrame, column: str = "payload") -> DataFrame:
-    """External analysis documents in checked form: levels, at most 20 findings, lists and texts cut."""
+def normalise_analysis(
+    json_df: DataFrame, column: str = "payload", limits: dict[str, int] | None = None
+) -> DataFrame:
+    """External analysis documents in checked form, whole; ``limits`` (such as ``REPORT_LIMITS``) cut them."""
     d = F.col("d")
+
+    def _cut(text, name, default=""):
+        text = F.coalesce(text, F.lit(default))
+        return F.substring(text, 1, limits[name]) if name in (limits or {}) else text
+
+    def _first(items, name):
+        return F.slice(items, 1, limits[name]) if name in (limits or {}) else items
+
     parsed = json_df.select("screen_id", F.from_json(json_body(F.col(column)), ANALYSIS_JSON).alias("d"))
 
     def detail(v):
         score = F.coalesce(v["confidence"].try_cast("double"), F.lit(0.7))
         return F.struct(
-            _cut(v["act_section"], 50).alias("act_section"),
-            _cut(v["section_title"], 100).alias("section_title"),
-            F.slice(F.coalesce(v["pii_involved"], F.array().cast("array<string>")), 1, 8).alias("pii_involved"),
-            _cut(v["finding"], 300).alias("finding"),
+            _cut(v["act_section"], "act_section").alias("act_section"),
+            _cut(v["section_title"], "section_title").alias("section_title"),
+            _first(F.coalesce(v["pii_involved"], F.array().cast("array<string>")), "pii_involved").alias("pii_involved"),
+            _cut(v["finding"], "finding").alias("finding"),
             _level(v["severity"], F.lit("LOW")).alias("severity"),
             rounded(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 2).alias("confidence"),
-            _cut(v["category"], 80).alias("category"),
-            _cut(v["penalty_reference"], 100).alias("penalty_reference"),
+            _cut(v["category"], "category").alias("category"),
+            _cut(v["penalty_reference"], "penalty_reference").alias("penalty_reference"),
         )
 
-    def texts(name, count, length):
+    def texts(name):
         items = F.coalesce(d[name], F.array().cast("array<string>"))
-        return F.transform(F.slice(items, 1, count), lambda t: F.substring(t, 1, length)).alias(name)
+        return F.transform(_first(items, name), lambda t: _cut(t, name.removesuffix("s"))).alias(name)
 
     listed = F.coalesce(d["violation_details"], F.from_json(F.lit("[]"), "array<struct<act_section:string,section_title:string,pii_involved:array<string>,finding:string,severity:string,confidence:string,category:string,penalty_reference:string>>"))
-    details = F.transform(F.filter(F.slice(listed, 1, 20), lambda v: v.isNotNull()), detail)
+    details = F.transform(F.filter(_first(listed, "violation_details"), lambda v: v.isNotNull()), detail)
     overall = _level(d["overall_risk"], F.lit("LOW"))
     stated = F.upper(F.trim(F.coalesce(d["violations_found"], F.lit("NO"))))
     return parsed.select(
         "screen_id",
         d["document_type"].alias("document_type"),
-        _cut(d["ai_summary"], 600, "AI analysis completed.").alias("ai_summary"),
+        _cut(d["ai_summary"], "ai_summary", "AI analysis completed.").alias("ai_summary"),
         overall.alias("overall_risk"),
         _level(d["screen_sensitivity"], overall).alias("screen_sensitivity"),
         F.when(stated.isin("YES", "NO", "INCONCLUSIVE"), stated)
         .otherwise(F.when(F.size(listed) > 0, "YES").otherwise("NO")).alias("violations_found"),
-        _cut(d["purpose_limitation"]["assessment"], 600).alias("purpose_assessment"),
+        _cut(d["purpose_limitation"]["assessment"], "purpose_assessment").alias("purpose_assessment"),
         F.coalesce(d["purpose_limitation"]["excessive_data_exposure"], F.lit(False)).alias("excessive_data_exposure"),
         details.alias("violation_details"),
-        texts("recommendations", 12, 300),
-        texts("observations", 12, 300),
-        texts("limitations", 8, 200),
+        texts("recommendations"),
+        texts("observations"),
+        texts("limitations"),
     )
 
 
@@ -277,13 +292,17 @@ def text_excerpt(text: Column, max_chars: int) -> Column:
 
 
 def evidence_export(
-    screens: DataFrame, entities: DataFrame, candidates: DataFrame, max_chars: int = 7000
+    screens: DataFrame, entities: DataFrame, candidates: DataFrame, max_chars: int | None = None,
+    max_entities: int | None = None, max_lines: int | None = None, max_candidates: int | None = None,
+    max_types: int | None = None,
 ) -> DataFrame:
-    """One JSON evidence document per screen for an external analysis.
+    """One JSON evidence document per screen for an external analysis; whole unless limits are given."""
+
+    def within(items, most):
+        return F.slice(items, 1, most) if most else F.col(items) if isinstance(items, str) else items
 
-    The document is a report with fixed limits: 60 entities, 80 lines, 80 candidates.
-    """
-    top_entities = entities.filter(F.col("entity_rank") <= 60).groupBy("screen_id").agg(
+    ranked = entities.filter(F.col("entity_rank") <= max_entities) if max_entities else entities
+    top_entities = ranked.groupBy("screen_id").agg(
         F.array_sort(
             F.collect_list(
                 F.struct(
@@ -298,19 +317,19 @@ def evidence_export(
     top_candidates = (
         candidates.select(
             "screen_id", F.row_number().over(place).alias("candidate_id"), "value",
-            F.slice("candidate_types", 1, 6).alias("candidate_types"),
+            within("candidate_types", max_types).alias("candidate_types"),
         )
-        .filter(F.col("candidate_id") <= 80)
+        .filter(F.col("candidate_id") <= max_candidates if max_candidates else F.lit(True))
         .groupBy("screen_id")
         .agg(F.array_sort(F.collect_list(F.struct("candidate_id", "value", "candidate_types"))).alias("candidates"))
     )
     lines = F.transform(
-        F.slice(F.split("full_text", "\n", -1), 1, 80),
+        within(F.split("full_text", "\n", -1), max_lines),
         lambda t, i: F.struct(i.alias("line_index"), t.alias("text")),
     )
     document = F.struct(
         F.struct(
-            F.col("avg_confidence"), text_excerpt(F.col("full_text"), max_chars).alias("full_text"),
+            F.col("avg_confidence"), (text_excerpt(F.col("full_text"), max_chars) if max_chars else F.col("full_text")).alias("full_text"),
             lines.alias("lines"),
         ).alias("ocr"),
         F.col("entities").alias("detected_pii_entities"),

@@ -829,9 +829,9 @@ def _analysis_json(spark, sf):
 
 
 @query("sco_09_normalise_analysis", """SELECT screen_id, CASE WHEN k % 3 = 0 THEN 'LOW' ELSE 'MEDIUM' END AS overall_risk, CASE WHEN k % 25 > 0 THEN 'YES' ELSE 'NO' END AS violations_found,
-    least(20, k % 25) AS findings, CASE WHEN k % 25 > 0 THEN CASE WHEN k % 4 = 0 THEN 'LOW' ELSE 'HIGH' END END AS first_severity,
-    CASE WHEN k % 25 > 0 THEN least(1.0::DOUBLE, (k % 14)::DOUBLE / 10) END AS first_confidence, CASE WHEN k % 25 > 0 THEN least(300, k % 400) END AS finding_length,
-    12::BIGINT AS recommendations, 300::BIGINT AS recommendation_length FROM (SELECT k * 2 + 1 AS screen_id, k FROM facts)""", "facts")
+    (k % 25)::BIGINT AS findings, CASE WHEN k % 25 > 0 THEN CASE WHEN k % 4 = 0 THEN 'LOW' ELSE 'HIGH' END END AS first_severity,
+    CASE WHEN k % 25 > 0 THEN least(1.0::DOUBLE, (k % 14)::DOUBLE / 10) END AS first_confidence, CASE WHEN k % 25 > 0 THEN k % 400 END AS finding_length,
+    15::BIGINT AS recommendations, 310::BIGINT AS recommendation_length FROM (SELECT k * 2 + 1 AS screen_id, k FROM facts)""", "facts")
 def _(spark, sf):
     done = scoring.normalise_analysis(_analysis_json(spark, sf))
     first = F.get("violation_details", F.lit(0))

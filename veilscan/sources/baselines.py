@@ -65,14 +65,14 @@ def save_baseline(store: str, new: DataFrame) -> DataFrame:
     The result is a written report, so it cannot change with the store.
     """
     spark = new.sparkSession
-    # Kept, because the store it was judged against changes with the write.
-    judged = judge_new(read_baselines(spark, store), new).persist()
+    # The report comes first and is what is appended from: the store changes with the write, so
+    # nothing may be judged against it again.
+    report = f"{store}/reports/{uuid.uuid4().hex}"
+    judge_new(read_baselines(spark, store), new).write.parquet(report)
+    judged = spark.read.parquet(report)
     accepted = judged.filter(F.col("status") == "accepted").drop("status")
     accepted.write.mode("append").partitionBy("user_id").parquet(f"{store}/rows")
-    report = f"{store}/reports/{uuid.uuid4().hex}"
-    judged.write.parquet(report)
-    judged.unpersist()
-    return spark.read.parquet(report)
+    return judged
 
 
 def list_baselines(store: DataFrame, user_id: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -56,15 +56,60 @@ def first_captures(hashed: DataFrame) -> DataFrame:
     return hashed.join(kept, "screen_id", "left_semi")
 
 
+def append_to_store(screens: DataFrame, store: str) -> None:
+    """Adds screens to a standing store, which is partitioned by the hour of upload (UTC)."""
+    hour = F.floor(F.unix_timestamp("uploaded_at") / 3600).cast("long")
+    screens.withColumn("upload_hour", hour).write.mode("append").partitionBy("upload_hour").parquet(store)
+
+
+def sweep_store(spark: SparkSession, store: str, now: Column, minutes: int = 15) -> None:
+    """Deletes from the store what is older than the limit at ``now``.
+
+    Whole hours go as folders; only the hour that the limit falls into is rewritten, from a copy
+    in a folder that readers pass over.  A sweep that was cut short is finished by the next one.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    root = path(store)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return
+    limit = spark.range(1).select(F.unix_timestamp(now - F.expr(f"interval {minutes} minutes"))).first()[0]
+    edge = limit // 3600
+    for status in files.listStatus(root):
+        name = status.getPath().getName()
+        if name.startswith("_sweep-"):
+            # The hour's own folder goes only once its copy is whole.
+            hour = path(f"{store}/upload_hour={name.removeprefix('_sweep-')}")
+            if files.exists(hour):
+                files.delete(status.getPath(), True)
+            else:
+                files.rename(status.getPath(), hour)
+    for status in files.listStatus(root):
+        name = status.getPath().getName()
+        if name.startswith("upload_hour=") and int(name.removeprefix("upload_hour=")) < edge:
+            files.delete(status.getPath(), True)
+    at_edge = path(f"{store}/upload_hour={edge}")
+    if not files.exists(at_edge):
+        return
+    fresh = path(f"{store}/_sweep-{edge}")
+    kept, _ = retention_filter(spark.read.parquet(at_edge.toString()), F.timestamp_seconds(F.lit(limit + 60 * minutes)), minutes)
+    kept.write.mode("overwrite").parquet(fresh.toString())
+    files.delete(at_edge, True)
+    files.rename(fresh, at_edge)
+
+
 def stream_retention(
-    screens: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str,
-    minutes: int = 15, every: str = "300 seconds",
+    screens: DataFrame, store: str, checkpoint: str, minutes: int = 15, every: str = "300 seconds",
+    now: Callable[[], Column] = F.current_timestamp,
 ) -> DataStreamWriter:
-    """Pass on only screens younger than the limit at the time of each sweep."""
+    """Appends arriving screens to the store and sweeps it on every trigger that brings some.
+
+    ``sweep_store`` may also be called on a timer of its own, for hours without arrivals.
+    """
 
     def sweep(batch: DataFrame, batch_id: int) -> None:
-        kept, _ = retention_filter(batch, F.current_timestamp(), minutes)
-        sink(kept, batch_id)
+        append_to_store(batch, store)
+        sweep_store(batch.sparkSession, store, now(), minutes)
 
     return (
         screens.writeStream.foreachBatch(sweep)
