@@ -18,8 +18,8 @@ WINDOW = 2048
 REST = 512
 #: Windows that one group of pieces fills; the work of a task grows with pieces x windows of a group.
 GROUP_WINDOWS = 192
-#: Distinct words whose ids a worker remembers; the table starts anew beyond that.
-WORDS_KEPT = 400_000
+#: Distinct words and parts whose ids a worker remembers; beyond that only the first third stays.
+WORDS_KEPT = 1_000_000
 #: Words handed to the tokenizer at once.
 WORD_BATCH = 4096
 _tables: dict[str, tuple] = {}
@@ -33,6 +33,7 @@ def tokenizer_path(name: str) -> str:
 
 #: White space of the tokenizer's patterns; it has four separators less than ``str.split``.
 _SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+_LETTERS = re.compile(r"([^\W\d_]+)([.,!?;:#$%&*]+)")
 _SEPARATORS = re.compile(r"[\x1c-\x1f]")
 
 
@@ -56,17 +57,33 @@ def _word_table(path: str) -> tuple:
     return _tables[path]
 
 
+def _halves(word: str) -> tuple[str, str]:
+    """A word as letters and the marks behind them, where the tokenizer parts the two anyway, else the word alone.
+
+    It lower-cases, which for ASCII is the same here, so words that differ in case or marks share their letters' ids.
+    """
+    found = _LETTERS.fullmatch(word)
+    letters, marks = (found[1], found[2]) if found else (word, "")
+    return letters.lower() if letters.isascii() and letters.isalpha() else letters, marks
+
+
 def _learn(path: str, lists: list[list[str]]) -> dict[str, bytes]:
-    """The table, holding the ids of every word in ``lists``."""
+    """The worker's table, holding the ids of every word in ``lists`` and of the parts of words, each tokenized once."""
     tokenizer, table = _word_table(path)
-    new = list(set().union(*lists).difference(table))
+    new = set().union(*lists).difference(table)
     if len(table) + len(new) > WORDS_KEPT:
-        table.clear()
-        new = list(set().union(*lists))
-    for i in range(0, len(new), WORD_BATCH):
-        part = new[i:i + WORD_BATCH]
-        for word, encoded in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            table[word] = np.asarray(encoded.ids, dtype="<u4").tobytes()
+        # The first that came hold the common words; the rest makes room.
+        for word in list(table)[WORDS_KEPT // 3:]:
+            del table[word]
+        new = set().union(*lists).difference(table)
+    halves = {w: _halves(w) for w in new}
+    parts = list(set().union(*halves.values()).difference(table, [""]))
+    for i in range(0, len(parts), WORD_BATCH):
+        some = parts[i:i + WORD_BATCH]
+        for part, encoded in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+            table[part] = np.asarray(encoded.ids, dtype="<u4").tobytes()
+    for word, (letters, marks) in halves.items():
+        table[word] = table[letters] + table[marks] if marks else table[letters]
     return table
 
 
@@ -75,7 +92,8 @@ def pieces(docs: DataFrame, path: str, end_id: int = 1, window: int = WINDOW, re
 
     The ids of a text are the tokenizer's without special tokens, then ``end_id``; null counts as empty, so every
     row has a piece. A piece is a full window, or up to ``rest`` ids of what is left of the document. The tokenizer's words never cross white
-    space (it composes, lower-cases and splits inside words), so each distinct word is tokenized once.
+    space (it composes, lower-cases and splits inside words), so each distinct word is
+    tokenized once.
     Columns of these names are replaced.
     """
     ship(docs.sparkSession)
@@ -110,38 +128,52 @@ def pieces(docs: DataFrame, path: str, end_id: int = 1, window: int = WINDOW, re
     return docs.mapInArrow(run, schema)
 
 
-def difference(sizes: np.ndarray, windows: int) -> list[list[int]]:
-    """Karmarkar-Karp: items shared out over ``windows`` near-equally.
+def difference(sizes: np.ndarray, windows: int) -> np.ndarray:
+    """Karmarkar-Karp: the window of each item, items shared out near-equally.
 
     Every partial partition is its window sums, largest first, less its smallest sum. The two of the widest
-    spread are merged, the largest sums of one with the smallest of the other, until one is left.
+    spread are merged, the largest sums of one with the smallest of the other, until one is left. Merges keep
+    only how they ordered the windows; walking them backwards names the window of every item.
     """
-    heap = []
-    for i in np.argsort(-sizes, kind="stable").tolist():
-        sums = np.zeros(windows, dtype="i8")
-        sums[0] = sizes[i]
-        heap.append((-int(sizes[i]), i, sums, [[i]] + [[] for _ in range(windows - 1)]))
+    n = len(sizes)
+    heap = [(-int(x), i) for i, x in enumerate(sizes.tolist())]
     heapq.heapify(heap)
-    tie = len(heap)
+    sums: dict[int, np.ndarray] = {}
+    merges: list[tuple[int, int, np.ndarray]] = []
+
+    def take() -> tuple[int, np.ndarray]:
+        top, node = heapq.heappop(heap)
+        if node < n:
+            alone = np.zeros(windows, dtype="i8")
+            alone[0] = -top
+            return node, alone
+        return node, sums.pop(node)
+
     while len(heap) > 1:
-        _, _, a, mine = heapq.heappop(heap)
-        _, _, b, theirs = heapq.heappop(heap)
-        sums = a + b[::-1]
-        order = np.argsort(-sums, kind="stable")
-        held = [m + t if t else m for m, t in zip(mine, reversed(theirs), strict=True)]
-        sums = sums[order]
-        sums -= sums[-1]
-        heapq.heappush(heap, (-int(sums[0]), tie, sums, [held[o] for o in order]))
-        tie += 1
-    return heap[0][3] if heap else []
-
-
-def share_out(sizes: np.ndarray, window: int) -> list[list[int]]:
-    """Items of at most ``window`` in windows of at most ``window``: one window more until none overflows."""
+        (a, mine), (b, theirs) = take(), take()
+        both = mine + theirs[::-1]
+        order = np.argsort(-both, kind="stable")
+        both = both[order]
+        both -= both[-1]
+        node = n + len(merges)
+        merges.append((a, b, order))
+        sums[node] = both
+        heapq.heappush(heap, (-int(both[0]), node))
+    places = {n + len(merges) - 1 if merges else 0: np.arange(windows)}
+    for at in range(len(merges) - 1, -1, -1):
+        a, b, order = merges[at]
+        mine = np.empty(windows, dtype="i8")
+        mine[order] = places.pop(n + at)
+        places[a], places[b] = (x if x_node >= n else x[:1].copy() for x_node, x in ((a, mine), (b, mine[::-1])))
+    return np.asarray([places[i][0] for i in range(n)], dtype="i8")
+
+
+def share_out(sizes: np.ndarray, window: int) -> np.ndarray:
+    """The window of each item, none above ``window``: the number of windows rises until none overflows."""
     windows = max(1, -(-int(sizes.sum()) // window))
     while True:
-        found = [w for w in difference(sizes, windows) if w]
-        if all(sizes[w].sum() <= window for w in found):
+        found = difference(sizes, windows)
+        if np.bincount(found, weights=sizes).max() <= window:
             return found
         windows += 1
 
@@ -161,11 +193,13 @@ def pack(cut: DataFrame, window: int = WINDOW) -> DataFrame:
     def assign(rows: pa.Table) -> pa.Table:
         sizes, base = rows["length"].to_numpy().astype("i8"), rows["group"][0].as_py() << 32
         rows = rows.drop_columns(["group"])
-        sequence, offset = np.zeros(len(sizes), dtype="i8"), np.zeros(len(sizes), dtype="i8")
-        for number, members in enumerate(share_out(sizes, window)):
-            sequence[members] = base + number
-            offset[members] = np.cumsum(sizes[members]) - sizes[members]
-        return rows.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
+        found = share_out(sizes, window)
+        order = np.argsort(found, kind="stable")
+        before = np.cumsum(sizes[order]) - sizes[order]
+        first = np.concatenate([[True], np.diff(found[order]) > 0])
+        offset = np.empty(len(sizes), dtype="i8")
+        offset[order] = before - np.maximum.accumulate(np.where(first, before, 0))
+        return rows.append_column("sequence_id", pa.array(base + found)).append_column("offset", pa.array(offset))
 
     full = cut.where(F.col("length") == window).select(
         "*", (-F.monotonically_increasing_id() - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
