@@ -46,7 +46,7 @@ def violations(spark):
     for i, (bad, good) in enumerate(CASES.values()):
         texts[2 * i], texts[2 * i + 1] = bad, good
     # A name needs an external decision: weak evidence alone stays below the threshold.
-    done = audit(text_screens(spark, texts))
+    done = audit(text_screens(spark, texts), folder=spark.conf.get("spark.checkpoint.dir"))
     found = {}
     for row in done.violations.select("screen_id", "rule_id").collect():
         found.setdefault(row.screen_id, set()).add(row.rule_id)
@@ -72,5 +72,5 @@ def test_name_next_to_offer(spark):
     decisions = spark.createDataFrame(
         [(1, NAME, "NAME", 0.9, "")], "screen_id long, value string, final_type string, confidence double, reasoning string"
     )
-    done = audit(screens, decisions)
+    done = audit(screens, decisions, folder=spark.conf.get("spark.checkpoint.dir"))
     assert "RULE-TP-02" in {r.rule_id for r in done.violations.collect()}

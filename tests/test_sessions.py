@@ -30,7 +30,7 @@ def test_names_split_over_screens(spark, monkeypatch):
 
 
 def test_record_and_sheet(spark, tmp_path):
-    done = audit(text_screens(spark, {1: "KYC\nI agree\nfingerprint", 2: "Offer\nminor\nrecommended for you"}))
+    done = audit(text_screens(spark, {1: "KYC\nI agree\nfingerprint", 2: "Offer\nminor\nrecommended for you"}), folder=spark.conf.get("spark.checkpoint.dir"))
     record = ropa.ropa_entry(ropa.merge_scans(done.scanned, done.verdicts)).persist()
     row = record.first()
     assert row.grounds == "Consent" and row.consent_type == "Digital" and row.dpia_applicable == "Yes"
@@ -86,9 +86,10 @@ def test_streams(spark, tmp_path):
     def sink(entities, verdicts, batch_id):
         verdicts.select("screen_id", "verdict").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    running = streams.stream_scan(stream(), sink, str(tmp_path / "c1")).trigger(availableNow=True).start()
+    running = streams.stream_scan(stream(), sink, str(tmp_path / "c1"), str(tmp_path / "stages")).trigger(availableNow=True).start()
     running.awaitTermination(180)
     assert {r.screen_id: r.verdict for r in spark.read.parquet(out).collect()} == {1: "YES", 2: "YES", 3: "YES"}
+    assert not list((tmp_path / "stages" / "veilscan").iterdir())
     kept = str(tmp_path / "kept")
     running = streams.stream_dedup(stream()).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start(kept)
     running.awaitTermination(120)

@@ -72,7 +72,7 @@ def entities(spark, sf):
 
 
 def audited(spark, sf):
-    return audit(corpus(spark, sf))
+    return audit(corpus(spark, sf), folder=spark.conf.get("spark.checkpoint.dir", None))
 
 
 def blocks(spark, sf):

@@ -1,7 +1,7 @@
 """The whole audit as one plan.
 
-The text is read once.  That pass leaves a narrow table of matches and facts per screen in
-the shared checkpoint folder; everything after works on that.
+The text is read once.  Given a shared folder, that pass leaves a narrow table of matches and
+facts per screen there and everything after works on that; without one the plan stays whole.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from veilscan.functions.tables import explode_rows
 from veilscan.operators.layout import layout_entities
@@ -26,18 +26,26 @@ from veilscan.operators.structure import line_table, structured_screens
 from veilscan.operators.verdict import verdict_rows
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write a table below ``spark.checkpoint.dir`` and read it back.
+class Stages:
+    """Tables written below a shared folder and read back, or nothing without a folder."""
 
-    Without that setting the plan is returned as it is and Spark recomputes it.
-    """
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df
-    path = f"{folder.rstrip('/')}/veilscan/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+    def __init__(self, folder: str | None) -> None:
+        self.folder, self.paths = folder, []
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        if not self.folder:
+            return df
+        path = f"{self.folder.rstrip('/')}/veilscan/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.paths.append(path)
+        return df.sparkSession.read.parquet(path)
+
+    def drop(self, spark: SparkSession) -> None:
+        """Delete the written tables; what was read from them can't be read any more."""
+        for path in self.paths:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        self.paths.clear()
 
 
 @dataclass
@@ -49,6 +57,11 @@ class Audit:
     entities: DataFrame
     features: DataFrame
     verdicts: DataFrame
+    stages: Stages
+
+    def drop(self) -> None:
+        """Delete the tables that the audit has written, once its results are stored."""
+        self.stages.drop(self.verdicts.sparkSession)
 
     @property
     def violations(self) -> DataFrame:
@@ -59,27 +72,32 @@ class Audit:
 
 def audit(
     screens: DataFrame, decisions: DataFrame | None = None, layout: DataFrame | None = None,
-    staged: bool = True,
+    folder: str | None = None, stages: Stages | None = None,
 ) -> Audit:
     """Entities and verdicts of all screens.
 
     ``decisions`` are external type decisions per value; without them the fallback ones
-    are used.  ``layout`` are layout matches of screens that have blocks.
+    are used.  ``layout`` are layout matches of screens that have blocks.  ``folder`` is shared by
+    all executors; the tables written there stay until ``Audit.drop``.
     """
-    keep = (lambda df, name: stage(df, name)) if staged else (lambda df, name: df)
+    stages = stages or Stages(folder)
+    keep = stages.keep
     scanned = keep(scan_text(screens), "scanned")
     cands = candidates(evidence(scanned_matches(scanned, layout)))
     entities = resolve_with_fallback(cands) if decisions is None else resolve_entities(cands, decisions)
     entities = keep(entities, "entities")
     facts = scanned.drop("found")
     features = rule_features(facts, entities)
-    return Audit(scanned, cands, entities, features, verdict_rows(features))
+    return Audit(scanned, cands, entities, features, verdict_rows(features), stages)
 
 
-def audit_blocks(blocks: DataFrame, screen_columns: DataFrame, decisions: DataFrame | None = None) -> Audit:
+def audit_blocks(
+    blocks: DataFrame, screen_columns: DataFrame, decisions: DataFrame | None = None, folder: str | None = None
+) -> Audit:
     """The audit of screens given as blocks; ``screen_columns`` has session, user and time."""
-    lines = stage(line_table(blocks), "lines")
+    stages = Stages(folder)
+    lines = stages.keep(line_table(blocks), "lines")
     text = structured_screens(lines)
     own = [c for c in screen_columns.columns if c not in ("full_text", "avg_confidence", "line_conf")]
     screens = screen_columns.select(*own).join(text, "screen_id")
-    return audit(screens, decisions, layout_entities(lines, text))
+    return audit(screens, decisions, layout_entities(lines, text), stages=stages)

@@ -13,17 +13,21 @@ from veilscan.sources.screens import retention_filter
 
 
 def stream_scan(
-    screens: DataFrame, sink: Callable[[DataFrame, DataFrame, int], None], checkpoint: str
+    screens: DataFrame, sink: Callable[[DataFrame, DataFrame, int], None], checkpoint: str,
+    folder: str | None = None,
 ) -> DataStreamWriter:
     """Audit every arriving screen once; ``sink(entities, verdicts, batch_id)`` stores a batch.
 
     The audit of a screen needs only that screen, so a micro-batch is audited like a
     table.  ``sink`` must be idempotent per ``batch_id``: a batch is repeated after a failure.
+    With a shared ``folder`` the text of a batch is scanned once for both outputs.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        result = audit(batch, staged=False)
+        # Both outputs read the scanned table of the batch, which goes once they are stored.
+        result = audit(batch, folder=folder)
         sink(result.entities, result.verdicts, batch_id)
+        result.drop()
 
     return screens.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
 
