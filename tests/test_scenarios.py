@@ -1,11 +1,12 @@
 """Screens given as blocks, from blocks to entities; layouts, names and numbers are made up here."""
 
 import pytest
-from helpers import block_table
+from helpers import block_table, text_screens
 from pyspark.sql import functions as F
 
 from veilscan.functions.verhoeff import verhoeff_valid
 from veilscan.operators import layout, resolve, structure
+from veilscan.plans.scan import audit_blocks
 
 # A form: every value close to the right of its label; a remark below it in small print.
 FORM = [
@@ -124,3 +125,12 @@ def test_verhoeff(spark):
     listed = {"234567890124": True, "700100200301": True, "700100200302": False, "222222222222": False}
     table = spark.createDataFrame([(v,) for v in listed], "v string")
     assert {r.v: r.ok for r in table.select("v", verhoeff_valid(F.col("v")).alias("ok")).collect()} == listed
+
+
+def test_block_route_end_to_end(spark, tables):
+    owners = text_screens(spark, {i: "" for i in SCREENS}).drop("full_text", "avg_confidence")
+    done = audit_blocks(tables["blocks"], owners, folder=spark.conf.get("spark.checkpoint.dir"))
+    found = {(e.screen_id, e.value): e for e in done.entities.collect()}
+    assert found[(1, "KX4471902")].pii_type == "CUSTOMER_ID" and found[(2, "510477230981")].pii_type == "TRANSACTION_REFERENCE"
+    assert done.verdicts.count() == len(SCREENS)
+    done.drop()

@@ -61,21 +61,23 @@ def part(name: str, deps: str, sql: str) -> None:
     PARTS[name] = (deps.split(), sql)
 
 
-def compose(select: str, deps: str) -> str:
+def compose(select: str, deps: str, corpus: str | None = None) -> str:
+    """The query with the parts it needs; ``corpus`` takes the place of the part of that name."""
+    parts = PARTS | ({"corpus": ([], corpus)} if corpus else {})
     order: list[str] = []
 
     def visit(name: str) -> None:
         if name in order:
             return
-        for d in PARTS[name][0]:
+        for d in parts[name][0]:
             visit(d)
         order.append(name)
 
     for d in deps.split():
         visit(d)
-    recursive = any("UNION ALL SELECT /*r*/" in PARTS[n][1] for n in order)
-    body = ",\n".join(f"{n} AS MATERIALIZED ({PARTS[n][1]})" if "UNION ALL SELECT /*r*/" not in PARTS[n][1]
-                      else f"{n} AS ({PARTS[n][1]})" for n in order)
+    recursive = any("UNION ALL SELECT /*r*/" in parts[n][1] for n in order)
+    body = ",\n".join(f"{n} AS MATERIALIZED ({parts[n][1]})" if "UNION ALL SELECT /*r*/" not in parts[n][1]
+                      else f"{n} AS ({parts[n][1]})" for n in order)
     return f"WITH {'RECURSIVE ' if recursive else ''}{body}\n{select}"
 
 

@@ -33,7 +33,7 @@ from veilscan.operators import (
     verdict,
 )
 from veilscan.plans import oracle as o
-from veilscan.plans.scan import audit
+from veilscan.plans.scan import audit, audit_blocks
 from veilscan.sources import baselines, derived, ropa_sink, screens
 from veilscan.streaming import streams
 
@@ -998,3 +998,59 @@ def _(spark, sf):
 def _(spark, sf):
     kept = streams.stream_dedup(corpus(spark, sf))
     return streams.with_capture_hash(kept).select("screen_id", "capture_hash")
+
+
+# -- the audit over pages and conversations -----------------------------------------------------------------
+def _corpus_sql(key: str, texts: str) -> str:
+    return (f"SELECT {key} AS screen_id, 0::BIGINT AS session_id, concat('user', {key} % 50) AS user_id, concat('screen_', {key}) AS filename, "
+            f"TIMESTAMP '2024-01-01 00:00:00' + to_minutes({key}) AS uploaded_at, txt AS full_text, 1.0::DOUBLE AS avg_confidence FROM ({texts})")
+
+
+_CORPORA = {
+    "pages": _corpus_sql("page_id", f"SELECT page_id, {_TAGS} AS txt FROM pages"),
+    "conversations": _corpus_sql("conv_id", f"""SELECT conv_id, {o.canonical('txt')} AS txt FROM (
+        SELECT conv_id, string_agg(text, chr(10) ORDER BY turn, text) AS txt FROM conversations GROUP BY conv_id)"""),
+}
+
+
+def _register_corpora():
+    def entity_rows(kind):
+        def run(spark, sf):
+            found = resolve.raw_matches(screens.read_screens(spark, f"{sf}/{kind}.parquet", kind))
+            return resolve.resolve_with_fallback(resolve.candidates(resolve.evidence(found))).select(
+                "screen_id", F.col("entity_rank").cast("long").alias("entity_rank"), "pii_type", "value", "confidence", "masked", "risk")
+        return run
+
+    def verdict_of(kind):
+        def run(spark, sf):
+            done = audit(screens.read_screens(spark, f"{sf}/{kind}.parquet", kind), folder=spark.conf.get("spark.checkpoint.dir", None))
+            return done.verdicts.select(
+                "screen_id", "screen_label", "verdict", "overall_severity", F.size("violations").cast("long").alias("violations"), "total_entities", "document_type")
+        return run
+
+    for kind, corpus_sql in _CORPORA.items():
+        ORACLES[f"res_7_resolve_{kind}"] = o.compose("SELECT screen_id, entity_rank, pii_type, value, confidence, masked, risk FROM ent", "ent", corpus_sql)
+        QUERIES[f"res_7_resolve_{kind}"] = entity_rows(kind)
+        ORACLES[f"ver_6_evaluate_{kind}"] = o.compose(
+            "SELECT screen_id, screen_label, verdict, overall_severity, violations, total_entities, document_type FROM verd", "verd", corpus_sql)
+        QUERIES[f"ver_6_evaluate_{kind}"] = verdict_of(kind)
+
+
+_register_corpora()
+
+
+# -- the block route: blocks to lines, layout matches in place of two text rules, the whole audit -------------
+def _block_audit(spark, sf):
+    owners = derived.banking_screens(spark, sf).withColumn("screen_id", ((F.col("screen_id") - 1) / 2).cast("long"))
+    return audit_blocks(blocks(spark, sf), owners, folder=spark.conf.get("spark.checkpoint.dir", None))
+
+
+@query("res_7_resolve_blocks")
+def _(spark, sf):
+    return _block_audit(spark, sf).entities.select("screen_id", F.col("entity_rank").cast("long").alias("entity_rank"), "pii_type", "value", "confidence", "masked", "source_rule")
+
+
+@query("ver_6_evaluate_blocks")
+def _(spark, sf):
+    return _block_audit(spark, sf).verdicts.select(
+        "screen_id", "screen_label", "verdict", "overall_severity", F.size("violations").cast("long").alias("violations"), "total_entities", "document_type")
