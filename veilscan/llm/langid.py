@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilscan.llm.base import ship, slices
-from veilscan.llm.words import distinct_words, ngram_features, segment_sums
+from veilscan.llm.words import distinct_words, ngram_features, parts, segment_sums
 
 ORDERS = (1, 2, 3)
 UNDETERMINED = "und"
@@ -65,18 +65,9 @@ def labelled_sample(docs: DataFrame, per_language: int, max_bytes: int) -> DataF
     return named.where(drawn & (F.octet_length("text") <= max_bytes)).select("text", "lang")
 
 
-def fit(texts: list[str], langs: list[str], buckets: int = 1 << 15, epochs: int = 5, rate: float = 2.0,
-        seed: int = 3) -> LanguageModel:
-    """One logistic classifier per bit of the codewords, all bits at once, by gradient steps in numpy."""
-    languages = tuple(sorted(set(langs)))
-    codes = codewords(len(languages))
-    weights = np.zeros((buckets, codes.shape[1]), dtype="f4")
-    bias = np.zeros(codes.shape[1], dtype="f4")
-    if len(languages) < 2:
-        return LanguageModel(languages, codes, weights, bias)
-    label = np.searchsorted(languages, langs)
-    balance = (len(label) / (len(languages) * np.bincount(label))).astype("f4")
-    words, word_codes, starts = distinct_words(pa.array(texts, pa.string()))
+def _ngram_shares(texts: pa.Array, buckets: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """``(buckets, shares)`` of the n-grams of each text; shares add up to ``SCALE``."""
+    words, word_codes, starts = distinct_words(texts)
     features, at = ngram_features(words, ORDERS, buckets, whole=False)
     rows = []
     for i in range(len(texts)):
@@ -84,11 +75,26 @@ def fit(texts: list[str], langs: list[str], buckets: int = 1 << 15, epochs: int
         own = [features[at[w]:at[w + 1]] for w in used]
         size = [len(f) for f in own]
         if not sum(size):
-            rows.append((np.zeros(0, dtype="i8"), np.zeros(0, dtype="f4")))
+            rows.append((np.zeros(0, dtype="i4"), np.zeros(0, dtype="f4")))
             continue
         ids, where = np.unique(np.concatenate(own), return_inverse=True)
         counts = np.bincount(where, weights=np.repeat(times, size))
-        rows.append((ids, (SCALE * counts / counts.sum()).astype("f4")))
+        rows.append((ids.astype("i4"), (SCALE * counts / counts.sum()).astype("f4")))
+    return rows
+
+
+def fit(texts: list[str] | pa.Array, langs: list[str], buckets: int = 1 << 15, epochs: int = 5, rate: float = 2.0,
+        seed: int = 3) -> LanguageModel:
+    """One logistic classifier per bit of the codewords, all bits at once, by gradient steps in numpy."""
+    languages = tuple(sorted(set(langs)))
+    codes = codewords(len(languages))
+    weights = np.zeros((buckets, codes.shape[1]), dtype="f4")
+    bias = np.zeros(codes.shape[1], dtype="f4")
+    if len(languages) < 2:
+        return LanguageModel(languages, codes, weights, bias)
+    label = np.searchsorted(languages, langs)
+    balance = (len(label) / (len(languages) * np.bincount(label))).astype("f4")
+    rows = [row for part in parts(texts) for row in _ngram_shares(part, buckets)]
     rng, step, total = np.random.default_rng(seed), 0, epochs * len(rows)
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
@@ -144,7 +150,7 @@ def identify(docs: DataFrame, model: LanguageModel, ambiguous_below: float = 0.6
     return docs.mapInArrow(run, schema)
 
 
-def train(docs: DataFrame, per_language: int = 800, max_bytes: int = 1 << 15) -> LanguageModel:
+def train(docs: DataFrame, per_language: int = 300, max_bytes: int = 1 << 14) -> LanguageModel:
     """A model from ``docs(doc_id, text, lang)``; about ``per_language`` texts of at most ``max_bytes`` each."""
-    sample = labelled_sample(docs, per_language, max_bytes).toPandas()
-    return fit(sample["text"].tolist(), sample["lang"].tolist())
+    sample = labelled_sample(docs, per_language, max_bytes).toArrow()
+    return fit(sample["text"].combine_chunks(), sample["lang"].to_pylist())

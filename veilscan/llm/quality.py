@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilscan.llm.base import ship, slices
-from veilscan.llm.words import distinct_words, ngram_features, segment_sums
+from veilscan.llm.words import distinct_words, ngram_features, parts, segment_sums
 
 ORDERS = (1, 3, 4)
 
@@ -49,7 +49,26 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_docs: int, max_bytes
         .select("text", "label"))
 
 
-def fit(texts: list[str], labels: list[int], buckets: int = 1 << 16, dim: int = 8, epochs: int = 5,
+def _feature_shares(texts: pa.Array, buckets: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """``(vectors, shares)`` of each text: what its mean over words is made of."""
+    words, codes, starts = distinct_words(texts)
+    features, at = ngram_features(words, ORDERS, buckets, whole=True)
+    again = _repeats(codes, starts)
+    rows = []
+    for i in range(len(texts)):
+        used, times = np.unique(codes[starts[i]:starts[i + 1]], return_counts=True)
+        own = [features[at[w]:at[w + 1]] for w in used]
+        if not own:
+            rows.append((np.zeros(0, dtype="i4"), np.zeros(0, dtype="f4")))
+            continue
+        weight = np.repeat(times / np.maximum(1, [len(f) for f in own]), [len(f) for f in own])
+        ids, where = np.unique(np.concatenate(own), return_inverse=True)
+        share = np.bincount(where, weights=weight) / times.sum()
+        rows.append((np.append(ids, buckets).astype("i4"), np.append(share, again[i] / times.sum()).astype("f4")))
+    return rows
+
+
+def fit(texts: list[str] | pa.Array, labels: list[int], buckets: int = 1 << 16, dim: int = 8, epochs: int = 5,
         rate: float = 0.5, seed: int = 7) -> QualityModel:
     """Stochastic gradient descent, one document a step, in plain numpy. Classes are weighted alike.
 
@@ -63,20 +82,7 @@ def fit(texts: list[str], labels: list[int], buckets: int = 1 << 16, dim: int =
     if counts.min() == 0:
         bias[:] = np.log((counts + 0.5) / (counts.sum() + 1))
         return QualityModel(vectors, output, bias)
-    words, codes, starts = distinct_words(pa.array(texts, pa.string()))
-    features, at = ngram_features(words, ORDERS, buckets, whole=True)
-    again = _repeats(codes, starts)
-    rows = []
-    for i in range(len(texts)):
-        used, times = np.unique(codes[starts[i]:starts[i + 1]], return_counts=True)
-        own = [features[at[w]:at[w + 1]] for w in used]
-        if not own:
-            rows.append((np.zeros(0, dtype="i8"), np.zeros(0, dtype="f4")))
-            continue
-        weight = np.repeat(times / np.maximum(1, [len(f) for f in own]), [len(f) for f in own])
-        ids, where = np.unique(np.concatenate(own), return_inverse=True)
-        share = np.bincount(where, weights=weight) / times.sum()
-        rows.append((np.append(ids, buckets), np.append(share, again[i] / times.sum()).astype("f4")))
+    rows = [row for part in parts(texts) for row in _feature_shares(part, buckets)]
     weight = (counts.sum() / (2.0 * counts)).astype("f4")
     total, step = epochs * len(rows), 0
     for _ in range(epochs):
@@ -125,7 +131,7 @@ def score(docs: DataFrame, model: QualityModel, name: str = "score") -> DataFram
     return docs.mapInArrow(run, schema)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = 3000, max_bytes: int = 1 << 16) -> QualityModel:
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = 1500, max_bytes: int = 1 << 15) -> QualityModel:
     """A model from ``labels(doc_id, label)``; at most ``max_docs`` documents of at most ``max_bytes`` each."""
-    sample = labelled_sample(docs, labels, max_docs, max_bytes).toPandas()
-    return fit(sample["text"].tolist(), sample["label"].tolist())
+    sample = labelled_sample(docs, labels, max_docs, max_bytes).toArrow()
+    return fit(sample["text"].combine_chunks(), sample["label"].to_pylist())

@@ -22,6 +22,12 @@ def distinct_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     return encoded.dictionary.to_pylist(), encoded.indices.to_numpy(), kept[offsets - offsets[0]]
 
 
+def parts(texts: list[str] | pa.Array, step: int = 64) -> list[pa.Array]:
+    """``texts`` as arrays of ``step`` texts, so that what is worked out per word stays small."""
+    texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+    return [texts.slice(i, step) for i in range(0, len(texts), step)]
+
+
 def ngram_features(words: list[str], orders: tuple[int, ...], buckets: int, whole: bool) -> tuple[np.ndarray, np.ndarray]:
     """``(features, starts)``: hashed n-grams of every ``<word>`` and, if asked, the word itself as one more."""
     starts = np.zeros(len(words) + 1, dtype="i8")
@@ -29,36 +35,37 @@ def ngram_features(words: list[str], orders: tuple[int, ...], buckets: int, whol
         return np.zeros(0, dtype="i8"), starts
     points = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype("u8")
     lengths = np.fromiter((len(w) + 2 for w in words), dtype="i8", count=len(words))
-    word_of = np.repeat(np.arange(len(words)), lengths)
+    word_of = np.repeat(np.arange(len(words), dtype="i4"), lengths)
     ends = np.repeat(np.cumsum(lengths), lengths)
     at = np.arange(len(points))
     rolled, owners, found = np.zeros(len(points), dtype="u8"), [], []
+    kind = "i4" if buckets <= 1 << 31 else "i8"
     for n in range(1, max(orders) + 1):
         inside = at + n <= ends
         shifted = np.zeros(len(points), dtype="u8")
         shifted[: len(points) - n + 1] = points[n - 1:]
         rolled = (rolled ^ shifted) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(n)
         if n in orders:
-            found.append(mix64(rolled[inside]) % np.uint64(buckets))
+            found.append((mix64(rolled[inside]) % np.uint64(buckets)).astype(kind))
             owners.append(word_of[inside])
     if whole:
         # A word's own feature: the sum of its mixed points by place, which differs from all its n-grams.
         place = (at - (ends - np.repeat(lengths, lengths))).astype("u8")
         own = mix64(points * np.uint64(0xD6E8FEB86659FD93) + place * np.uint64(0xA0761D6478BD642F))
         own = np.add.reduceat(own, np.cumsum(lengths) - lengths)
-        found.append(mix64(own) % np.uint64(buckets))
-        owners.append(np.arange(len(words)))
+        found.append((mix64(own) % np.uint64(buckets)).astype(kind))
+        owners.append(np.arange(len(words), dtype="i4"))
     owner = np.concatenate(owners)
     order = np.argsort(owner, kind="stable")
     np.cumsum(np.bincount(owner, minlength=len(words)), out=starts[1:])
-    return np.concatenate(found)[order].astype("i8"), starts
+    return np.concatenate(found)[order], starts
 
 
-def segment_sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Sum of ``values`` in each segment ``starts[i]:starts[i + 1]``; empty segments give zero."""
+def segment_sums(values: np.ndarray, starts: np.ndarray, kind: str | None = None) -> np.ndarray:
+    """Sum of ``values`` (as ``kind``) in each segment ``starts[i]:starts[i + 1]``; empty segments give zero."""
     shape = (len(starts) - 1, *values.shape[1:])
-    out = np.zeros(shape, dtype=values.dtype)
+    out = np.zeros(shape, dtype=kind or values.dtype)
     full = np.flatnonzero(np.diff(starts) > 0)
     if len(full):
-        out[full] = np.add.reduceat(values, starts[full], axis=0)
+        out[full] = np.add.reduceat(values, starts[full], axis=0, dtype=out.dtype)
     return out
