@@ -22,18 +22,24 @@ from veilscan.llm.base import attach, components, mix64, slices, staged
 SKETCH = 1 << 20
 CHUNK = 1 << 14
 BITMAP_LEAST, BITMAP_MOST = 256, 4096
+#: Bytes of text that are worked on at once.
+SLICE_BYTES = 2 << 20
 #: Sets, and members of sets, that one tile of the first round holds; sets of one tile of the second.
 TILE_SETS, TILE_MEMBERS, BLOCK_SETS = 2000, 4_000_000, 4000
-BLOCK_BYTES = 2 << 20
+#: What one call works through: members of sets in the first round, rows of tiles in the second.
+SLOT_MEMBERS, SLOT_SETS = 2_000_000, 20_000
+BLOCK_BYTES = 1 << 20
 FACTOR = 0x9E3779B97F4A7C15
+#: Per byte: whether it is white space, and its value with A-Z lower-cased.
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_LETTER = (np.arange(256) + np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), 32, 0) + 1).astype("u8")
 
 
 def _word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """``(hash, start)`` of every word in ``data`` (bytes that end with a space), A-Z lower-cased."""
-    space = (data == 32) | ((data >= 9) & (data <= 13))
+    space = _SPACE[data]
     starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
     ends = np.flatnonzero(space & np.concatenate([[False], ~space[:-1]]))
-    lower = data + np.where((data >= 65) & (data <= 90), 32, 0).astype("u1")
     hashes, at = np.zeros(len(starts), dtype="u8"), 0
     while at < len(starts):
         # Blocks of whole words: a polynomial over the block's bytes gives each word's value by two look-ups.
@@ -43,7 +49,7 @@ def _word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             power = np.ones(last - first + 1, dtype="u8")
             power[1:] = FACTOR
             power = np.cumprod(power)
-            total = np.concatenate([[np.uint64(0)], np.cumsum((lower[first:last].astype("u8") + np.uint64(1)) * power[:-1])])
+            total = np.concatenate([[np.uint64(0)], np.cumsum(_LETTER[data[first:last]] * power[:-1])])
             s, e = starts[at:stop] - first, ends[at:stop] - first
             # Words are compared at a common place: each is moved up to the end of its block.
             value = (total[e] - total[s]) * power[len(power) - 1 - s]
@@ -95,54 +101,62 @@ def _map_sets(docs: DataFrame, k: int, schema: str, make) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 yield from make(part, shingle_sets(part.column("text"), k))
 
     return docs.mapInArrow(run, schema)
 
 
-def sketch(docs: DataFrame, k: int) -> np.ndarray:
-    """How many members of all sets fall on each of ``SKETCH`` counters, saturating at 65,535.
+def _gather(rows: DataFrame, places) -> np.ndarray:
+    """Sums over all rows of how often ``places(batch)`` names each of ``SKETCH`` counters, saturating at 65,535.
 
     Tasks count on their own and send their counters in chunks; chunks are summed in a stream, so the largest
     thing that any task or the driver holds is one sketch.
     """
+    chunks, schema = range(0, SKETCH, CHUNK), "chunk int, counts binary"
+
+    def sent(numbers: list[int], sums: list[np.ndarray]) -> pa.RecordBatch:
+        raw = [np.minimum(c, 65535).astype("<u2").tobytes() for c in sums]
+        return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(raw, pa.binary())], ["chunk", "counts"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SKETCH, dtype="i8")
         for batch in batches:
-            for part in slices(batch, "text"):
-                members = np.concatenate([np.zeros(0, dtype="u8"), *shingle_sets(part.column("text"), k)])
-                total += np.bincount((members % np.uint64(SKETCH)).astype("i8"), minlength=SKETCH)
-        chunks = [total[i:i + CHUNK] for i in range(0, SKETCH, CHUNK)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(range(len(chunks)), pa.int32()), pa.array([np.minimum(c, 65535).astype("<u2").tobytes() for c in chunks], pa.binary())],
-            ["chunk", "counts"])
+            for found in places(batch):
+                total += np.bincount((found % np.uint64(SKETCH)).astype("i8"), minlength=SKETCH)
+        used = [i for i, at in enumerate(chunks) if total[at:at + CHUNK].any()]
+        yield sent(used, [total[i * CHUNK:(i + 1) * CHUNK] for i in used])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[chunk] = sums.get(chunk, np.zeros(CHUNK, dtype="i8")) + np.frombuffer(raw, dtype="<u2")
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(sums), pa.int32()), pa.array([np.minimum(c, 65535).astype("<u2").tobytes() for c in sums.values()], pa.binary())],
-            ["chunk", "counts"])
+                sums[chunk] = sums.get(chunk, 0) + np.frombuffer(raw, dtype="<u2").astype("i8")
+        yield sent(list(sums), list(sums.values()))
 
-    schema = "chunk int, counts binary"
-    rows = docs.select("text").mapInArrow(count, schema).repartition(SKETCH // CHUNK, "chunk").mapInArrow(add, schema).collect()
     out = np.zeros(SKETCH, dtype="u2")
-    for row in rows:
+    for row in rows.mapInArrow(count, schema).repartition(len(chunks), "chunk").mapInArrow(add, schema).collect():
         out[row.chunk * CHUNK:(row.chunk + 1) * CHUNK] = np.frombuffer(row.counts, dtype="<u2")
     return out
 
 
+def sketch(docs: DataFrame, k: int) -> np.ndarray:
+    """About how many sets hold the members that fall on each counter; only the order of members depends on it."""
+
+    def members(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for part in slices(batch, "text", SLICE_BYTES):
+            yield np.concatenate([np.zeros(0, dtype="u8"), *shingle_sets(part.column("text"), k)])
+
+    return _gather(docs.select("text"), members)
+
+
 def prefix_size(n: int, num: int, den: int) -> int:
     return n - (num * n + den - 1) // den + 1
 
 
 def bitmap(members: np.ndarray) -> np.ndarray:
     """A bitmap whose width follows the set's size; a wider one folds to a narrower by halves."""
-    width = min(BITMAP_MOST, max(BITMAP_LEAST, 1 << max(0, 4 * len(members) - 1).bit_length()))
+    width = min(BITMAP_MOST, max(BITMAP_LEAST, 1 << max(0, 2 * len(members) - 1).bit_length()))
     bits = np.zeros(width, dtype=bool)
     bits[(members % np.uint64(width)).astype("i8")] = True
     return np.packbits(bits, bitorder="little").view("<u8")
@@ -173,46 +187,72 @@ def _linked(members: np.ndarray, others: list[np.ndarray], num: int, den: int) -
     return shared * den >= num * (len(members) + sizes - shared)
 
 
-def _home_tile(rows: pa.Table, num: int, den: int) -> pa.Table:
-    """Spanning links of one tile whose sets are at hand: each pair is compared, linked already, or out of bounds."""
-    seen = {node: i for i, node in enumerate(rows["node"].to_pylist())}
-    rows = rows.take(pa.array(sorted(seen.values())))
-    nodes = rows["node"].to_pylist()
-    sets = [np.frombuffer(raw, dtype="<u8") for raw in rows["members"].to_pylist()]
-    own = np.asarray(rows["own"].to_pylist())
-    sizes = np.asarray([len(s) for s in sets])
-    maps, root, links = _fold([bitmap(s) for s in sets]), np.arange(len(sets)), []
-    for i in range(len(sets)):
-        others = np.arange(i + 1, len(sets))
-        others = others[(root[others] != root[i]) & (own[others] | own[i])]
-        if len(others):
-            others = _may_link(i, others, maps, sizes, num, den)
-        if len(others):
-            for j in others[_linked(sets[i], [sets[o] for o in others], num, den)]:
-                if root[j] != root[i]:
-                    root[root == root[j]] = root[i]
-                    links.append((nodes[i], nodes[j]))
-    return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
-
-
-def _cross_tile(rows: pa.Table, num: int, den: int) -> pa.Table:
-    """Pairs of different classes that the bounds leave. ``at_home``: outside the main class and in its own block."""
-    nodes, classes = np.asarray(rows["node"].to_pylist()), np.asarray(rows["class"].to_pylist())
-    own, sizes = np.asarray(rows["own"].to_pylist()), np.asarray(rows["n"].to_pylist())
-    main, home = np.asarray(rows["main"].to_pylist()), np.asarray(rows["at_home"].to_pylist())
-    maps, out = _fold([np.frombuffer(raw, dtype="<u8") for raw in rows["bits"].to_pylist()]), ([], [])
-    everyone = np.arange(len(nodes))
-    for i in np.flatnonzero(~main):
-        # An outsider meets the block's rows of the main class, and in its own block the outsiders after it.
-        others = everyone[(classes != classes[i]) & (own | own[i]) & (main | ((nodes > nodes[i]) & home[i]))]
-        if len(others):
-            others = _may_link(i, others, maps, sizes, num, den)
-            out[0].append(np.minimum(nodes[i], nodes[others]))
-            out[1].append(np.maximum(nodes[i], nodes[others]))
-    a, b = (np.concatenate(x) if x else np.zeros(0, dtype="i8") for x in out)
+def _tiles(rows: pa.Table) -> Iterator[np.ndarray]:
+    """Row numbers of each tile (key, band and block) of a slot."""
+    columns = [rows[c].to_numpy() for c in ("block", "band", "key")]
+    order = np.lexsort(columns)
+    new = np.zeros(max(0, len(order) - 1), dtype=bool)
+    for c in columns:
+        new |= np.diff(c[order]) != 0
+    yield from np.split(order, np.flatnonzero(new) + 1) if len(order) else []
+
+
+def _pairs(a: list, b: list) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+def _home_tiles(rows: pa.Table, num: int, den: int) -> pa.Table:
+    """Spanning links of tiles whose sets are at hand: each pair is compared, linked already, or out of bounds."""
+    nodes, own_all, raw = rows["node"].to_numpy(), rows["own"].to_numpy(), rows["members"]
+    left, right = [], []
+    for tile in _tiles(rows):
+        tile = tile[np.unique(nodes[tile], return_index=True)[1]]
+        sets = [np.frombuffer(raw[int(i)].as_py(), dtype="<u8") for i in tile]
+        own, sizes = own_all[tile], np.asarray([len(s) for s in sets])
+        maps, root = _fold([bitmap(s) for s in sets]), np.arange(len(sets))
+        for i in range(len(sets) - 1):
+            others = np.arange(i + 1, len(sets))
+            others = others[(root[others] != root[i]) & (own[others] | own[i])]
+            if len(others):
+                others = _may_link(i, others, maps, sizes, num, den)
+            if len(others):
+                for j in others[_linked(sets[i], [sets[o] for o in others], num, den)]:
+                    if root[j] != root[i]:
+                        root[root == root[j]] = root[i]
+                        left.append(nodes[tile[i]])
+                        right.append(nodes[tile[j]])
+    return _pairs(left, right)
+
+
+def _cross_tiles(rows: pa.Table, num: int, den: int) -> pa.Table:
+    """Pairs of different classes that the bounds leave. ``at_home``: outside the main class and in its own block."""
+    nodes, classes, own, sizes, most, main, home = (
+        rows[c].to_numpy() for c in ("node", "class", "own", "n", "most", "main", "at_home"))
+    bits, left, right = rows["bits"], [], []
+    for tile in _tiles(rows):
+        n = sizes[tile]
+        maps = None
+        for i in np.flatnonzero(~main[tile]):
+            # An outsider meets the block's rows of the main class, and in its own block the outsiders after it.
+            x = tile[i]
+            meets = (classes[tile] != classes[x]) & (own[tile] | own[x]) & (main[tile] | ((nodes[tile] > nodes[x]) & home[x]))
+            others = np.flatnonzero(meets & (n <= most[x]) & (n[i] <= most[tile]))
+            if len(others):
+                if maps is None:
+                    maps = _fold([np.frombuffer(bits[int(t)].as_py(), dtype="<u8") for t in tile])
+                others = nodes[tile[_may_link(i, others, maps, n, num, den)]]
+                left.extend(np.minimum(nodes[x], others))
+                right.extend(np.maximum(nodes[x], others))
+    found = np.unique(np.asarray([left, right], dtype="i8"), axis=1)
+    return _pairs(found[0], found[1])
+
+
+def _slotted(tiles: DataFrame, total: int | None, room: int) -> DataFrame:
+    """Tiles dealt at random into slots of about ``room`` of ``total``: a task call works through many small tiles."""
+    slots = max(1, -(-(total or 0) // room))
+    return tiles.withColumn("slot", F.pmod(F.xxhash64("key", "band", "block"), F.lit(slots)))
+
+
 def _banded(rows: DataFrame, num: int, den: int) -> DataFrame:
     """Every row in the tile of its size band and, as the smaller partner, in the next (``own`` false)."""
     # A little wider than the ratio of sizes that can link, so that rounding parts no pair by two bands.
@@ -248,45 +288,68 @@ def links(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> tuple[Data
             p = prefix_size(len(members), num, den)
             found.append(members[np.argsort(counts.value[(members % np.uint64(SKETCH)).astype("i8")], kind="stable")[:p]])
             owner.append(np.full(p, node, dtype="i8"))
-            size.append(np.full(p, len(members), dtype="i4"))
+            size.append((len(members) << 32) + np.arange(p))
         if found:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate(found).view("i8")), pa.array(np.concatenate(owner)), pa.array(np.concatenate(size))],
-                ["key", "node", "n"])
+                ["key", "node", "place"])
 
-    by_key = Window.partitionBy("key")
+    # The first key that a linked pair has in common stands so early in both that what follows can still hold the
+    # overlap: a set of n members with the key at position p meets sets of up to ``most`` members there. A row stays
+    # if some smaller set reaches up to it, or the next larger one is within its own reach.
+    by_size = Window.partitionBy("key").orderBy("n", "node")
     met = (
-        _map_sets(words, k, "key long, node long, n int", keys)
-        .withColumn("last", F.lag("node").over(by_key.orderBy("node")))
-        .where("last is null or last <> node")
-        .withColumn("shared", F.count("*").over(by_key)).where("shared > 1").drop("last"))
+        _map_sets(words, k, "key long, node long, place long", keys)
+        .select("key", "node", F.shiftright("place", 32).alias("n"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("pos"))
+        .withColumn("last", F.lag("node").over(by_size)).where("last is null or last <> node")
+        .withColumn("most", F.expr(f"((n - pos) * {num + den}L) div {num}L - n"))
+        .withColumn("reach", F.max("most").over(by_size.rowsBetween(Window.unboundedPreceding, -1)))
+        .withColumn("next", F.lead("n").over(by_size)).where("reach >= n or next <= most")
+        .select("key", "node", "n", "most")
+        .withColumn("shared", F.count("*").over(Window.partitionBy("key"))).where("shared > 1"))
     met = staged(met, "keys")
 
     # A set's home is the key that it shares with the most others.
-    home = met.groupBy("node").agg(F.max_by("key", F.struct("shared", "key")).alias("key"), F.first("n").alias("n"))
+    home = staged(met.groupBy("node").agg(F.max_by("key", F.struct("shared", "key")).alias("key"), F.first("n").alias("n")), "homes")
+    # Home tiles, blocks by hash where a tile is large. A set is in one tile or, as a smaller partner, in two.
+    tiles = _banded(home, num, den)
+    weight = tiles.groupBy("key", "band").agg(
+        F.ceil(F.greatest(F.count("*") / F.lit(TILE_SETS), F.sum("n") / F.lit(TILE_MEMBERS))).cast("int").alias("blocks"),
+        F.count("*").alias("many"), F.max("own").alias("owned"))
+    tiles = (tiles.join(weight.where("many > 1 and owned"), ["key", "band"])
+             .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).select("key", "band", "own", "node", "block"))
+    tiles = _slotted(tiles, home.agg(F.sum("n")).first()[0], SLOT_MEMBERS)
+    tiles = tiles.groupBy("node").agg(F.collect_list(F.struct("slot", "key", "band", "own", "block")).alias("tiles"))
     chosen = (rows.where("node is not null").select("node", "doc_id", "row")
               .join(home.select("node"), "node", "left_semi")
               .groupBy("node").agg(F.min(F.struct("row", "doc_id")).alias("r"))
-              .select(F.col("r.row").alias("row"), F.coalesce("r.doc_id", F.lit(-1)).alias("id")))
+              .join(tiles, "node", "left")
+              .select(F.col("r.row").alias("row"), F.coalesce("r.doc_id", F.lit(-1)).alias("id"), "tiles"))
 
     def carry(part: pa.RecordBatch, sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [pa.array([_node(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()),
-             pa.array([bitmap(s).tobytes() for s in sets], pa.binary())], ["node", "members", "bits"])
+             pa.array([bitmap(s).tobytes() for s in sets], pa.binary()), part.column("tiles")], ["node", "members", "bits", "tiles"])
 
-    texts = words.withColumn("row", F.xxhash64("text")).withColumn("id", F.coalesce("doc_id", F.lit(-1)))
-    held = staged(_map_sets(texts.join(chosen, ["row", "id"], "left_semi").select("text"), k,
-                            "node long, members binary, bits binary", carry), "members")
+    # A bitmap of the chosen rows, as large for any input, spares most texts the shuffle; the join then is exact.
+    chosen = staged(chosen, "chosen")
+    marked = docs.sparkSession.sparkContext.broadcast(
+        _gather(chosen.select("row"), lambda batch: [batch.column(0).to_numpy().view("u8")]) > 0)
 
-    # First round: each set with its members in its home tile, blocks by hash where a tile is large.
-    tiles = _banded(home, num, den)
-    weight = tiles.groupBy("key", "band").agg(
-        F.ceil(F.greatest(F.count("*") / F.lit(TILE_SETS), F.sum("n") / F.lit(TILE_MEMBERS))).cast("int").alias("blocks"), F.count("*").alias("many"))
-    tiles = (tiles.join(weight.where("many > 1"), ["key", "band"])
-             .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).drop("blocks", "many"))
+    def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(marked.value[(batch.column("row").to_numpy().view("u8") % np.uint64(SKETCH)).astype("i8")]))
+
+    texts = words.select("text", F.xxhash64("text").alias("row"), F.coalesce("doc_id", F.lit(-1)).alias("id"))
+    texts = texts.mapInArrow(sieve, "text string, row long, id long")
+    held = staged(_map_sets(
+        texts.join(chosen, ["row", "id"]).select("text", "tiles"), k,
+        f"node long, members binary, bits binary, tiles {chosen.schema['tiles'].dataType.simpleString()}", carry), "members")
+
+    # First round: each set comes to its home tile with its members.
     first = staged(
-        tiles.join(held.select("node", "members"), "node").groupBy("key", "band", "block")
-        .applyInArrow(lambda t: _home_tile(t, num, den), "a long, b long"), "links")
+        held.select("node", "members", F.explode("tiles").alias("tile")).select("node", "members", "tile.*")
+        .groupBy("slot").applyInArrow(lambda t: _home_tiles(t, num, den), "a long, b long"), "links")
     classes = components(first, "classes")
 
     # Second round: pairs of different classes that share any key; tiles of one class are dropped unread.
@@ -295,17 +358,18 @@ def links(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> tuple[Data
     cross = _banded(cross, num, den)
     by_tile = Window.partitionBy("key", "band")
     cross = staged(cross.withColumn("low", F.min("class").over(by_tile)).withColumn("high", F.max("class").over(by_tile))
-                   .where("low <> high").select("key", "band", "own", "node", "n", "class"), "tiles")
+                   .withColumn("owned", F.max("own").over(by_tile)).where("low <> high and owned").select("key", "band", "own", "node", "n", "most", "class"), "tiles")
+    rows_crossing = cross.count()
     parts = cross.groupBy("key", "band", "class").agg(F.count("*").alias("c")).groupBy("key", "band").agg(
         F.max_by("class", "c").alias("largest"), F.ceil(F.sum("c") / F.lit(BLOCK_SETS)).cast("int").alias("blocks"))
     cross = (cross.join(parts, ["key", "band"]).withColumn("main", F.col("class") == F.col("largest"))
              .withColumn("at", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
              .withColumn("block", F.explode(F.when(F.col("main"), F.array("at")).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
              .withColumn("at_home", F.col("block") == F.col("at")))
+    cross = cross.select("key", "band", "block", "node", "n", "most", "class", "own", "main", "at_home")
     pairs = staged(
-        cross.join(held.select("node", "bits"), "node")
-        .select("key", "band", "block", "node", "n", "class", "own", "main", "at_home", "bits")
-        .groupBy("key", "band", "block").applyInArrow(lambda t: _cross_tile(t, num, den), "a long, b long").distinct(), "pairs")
+        _slotted(cross, rows_crossing, SLOT_SETS).join(held.select("node", "bits"), "node")
+        .groupBy("slot").applyInArrow(lambda t: _cross_tiles(t, num, den), "a long, b long").distinct(), "pairs")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -314,7 +378,7 @@ def links(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> tuple[Data
                     for x, y in zip(left, right, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    one = held.groupBy("node").agg(F.first("members").alias("members"))
+    one = held.select("node", "members")
     second = (pairs.join(one.select(F.col("node").alias("a"), F.col("members").alias("x")), "a")
               .join(one.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
               .select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"))
