@@ -19,7 +19,9 @@ REST = 512
 #: Windows that one group of pieces fills; the work of a task grows with pieces x windows of a group.
 GROUP_WINDOWS = 192
 #: Distinct words and parts whose ids a worker remembers; beyond that only the first third stays.
-WORDS_KEPT = 1_000_000
+WORDS_KEPT = 600_000
+#: Bytes of text worked on at once; as words they take about ten times that.
+SLICE_BYTES = 3 << 20
 #: Words handed to the tokenizer at once.
 WORD_BATCH = 4096
 _tables: dict[str, tuple] = {}
@@ -106,7 +108,7 @@ def pieces(docs: DataFrame, path: str, end_id: int = 1, window: int = WINDOW, re
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.asarray([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 lists = list(map(_words, part.column("text").to_pylist()))
                 table = _learn(path, lists)
                 row, start, length, ids, total = [], [], [], [], []
