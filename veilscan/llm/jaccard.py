@@ -73,9 +73,10 @@ def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
     words, starts = _word_hashes(data)
     at = np.searchsorted(starts, bounds)
     with np.errstate(over="ignore"):
-        rolled = np.zeros(max(0, len(words) - k + 1), dtype="u8")
+        places = max(0, len(words) - k + 1)
+        rolled = np.zeros(places, dtype="u8")
         for j in range(k):
-            rolled = mix64(rolled * np.uint64(FACTOR) + words[j:len(words) - k + 1 + j] + np.uint64(j + 1))
+            rolled = mix64(rolled * np.uint64(FACTOR) + words[j:j + places] + np.uint64(j + 1))
         out = []
         for s, e in zip(at[:-1], at[1:], strict=True):
             if e - s >= k:
