@@ -203,6 +203,42 @@ def test_line_dedup_matches_brute_force(spark, monkeypatch):
     assert got == {(i, n): (*first[group[x]], first[group[x]] == (i, n)) for i, n, x in seen}
 
 
+def edited(rng, line, edits):
+    """``line`` after that many edits at different places: half substitutions, and as many deletions as insertions."""
+    out = list(line)
+    for at in rng.sample(range(len(out)), edits):
+        out[at] = rng.choice([rng.choice("abcxyz"), rng.choice("abcxyz"), "", out[at] + rng.choice("abcxyz")])
+    return " ".join("".join(out).split())
+
+
+def test_line_dedup_recall_against_edit_similarity(spark):
+    rng, rows, want = random.Random(8), [], {}
+    for length in (10, 12, 19, 20, 29, 40, 80, 120, 200, 600):
+        for share in (0.02, 0.05, 0.1):
+            for _ in range(12):
+                line = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(3 * length))
+                line = " ".join(line.split())[:length].strip()
+                other = edited(rng, line, max(1, int(share * len(line) + 1e-9)))
+                a, b = lines.normalised(line), lines.normalised(other)
+                if a != b and 1 - lines.edit_distance(a, b) / max(len(a), len(b)) >= 0.9:
+                    want[len(rows) + 1] = length
+                    rows += [(len(rows), line), (len(rows) + 1, other)]
+    got = {r.doc_id: r.first_doc_id == r.doc_id - 1 for r in lines.decide(frame(spark, rows)).collect() if r.doc_id in want}
+    short, long = [got[i] for i, n in want.items() if n < 29], [got[i] for i, n in want.items() if n >= 29]
+    assert len(short) > 100 and all(short)
+    assert len(long) > 150 and sum(long) >= 0.98 * len(long)
+
+
+def test_short_lines_share_a_key():
+    rng = random.Random(9)
+    for _ in range(4000):
+        a = "".join(rng.choice("ab ") for _ in range(rng.randrange(9, 30)))
+        b = edited(rng, a, rng.randrange(1, 3))
+        if max(len(a), len(b)) <= lines.EXACT and lines.similar(a, b, 0.9):
+            keys = lines.line_keys([a, b], 0.9)
+            assert set(keys[0].tolist()) & set(keys[1].tolist()), (a, b)
+
+
 def test_line_dedup_cleans_texts(spark):
     line = "this very line stands in every one of these texts"
     got = {r.doc_id: r.text for r in lines.cleaned(frame(spark, [(1, f"a\n{line}\n\nb"), (2, f"{line}.\nc"), (3, None)])).collect()}
