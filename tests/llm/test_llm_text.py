@@ -221,6 +221,26 @@ def test_quality_of_odd_rows(spark):
     assert quality.score(frame(spark, rows), nobody).count() == 5
 
 
+def test_quality_learns_rare_labels_and_long_texts(spark):
+    rows = [(i, "a fine day it is on hills " * 3) for i in range(2000)] + [(5000 + i, "la la so so " * 9000) for i in range(10)]
+    labels = frame(spark, [(i, 0 if i >= 5000 else 1) for i, _ in rows], "doc_id long, label int")
+    sample = quality.labelled_sample(frame(spark, rows), labels, 100).collect()
+    assert len(sample) == 100 and [r.label for r in sample].count(0) == 10
+    model = quality.train(frame(spark, rows), labels, max_docs=100)
+    got = {r.doc_id: r.score for r in quality.score(frame(spark, [(1, "so so la la"), (2, "a fine day")]), model).collect()}
+    assert got[1] < 0.5 < got[2]
+    few = quality.train(frame(spark, rows), labels, total_bytes=1)
+    assert few.bias.tolist() != [0, 0]
+
+
+def test_language_sample_is_bounded_and_learns_long_texts(spark):
+    rows = [(None, f"the cat and the dog {i}", "en") for i in range(500)] + [(7, "der hund und die katze", "de")] * 300 + [(8, "le chat et le chien " * 9000, "fr")]
+    docs = frame(spark, rows, "doc_id long, text string, lang string")
+    sample, languages = langid.labelled_sample(docs, 50)
+    assert languages == 3 and {r.lang: r["count"] for r in sample.groupBy("lang").count().collect()} == {"en": 50, "de": 50, "fr": 1}
+    assert langid.train(docs, per_language=50).languages == ("de", "en", "fr")
+
+
 def test_language_on_held_out_documents(spark):
     sf = "/root/testdata/sf0.1"
     rows = registry.op9_language_id(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()

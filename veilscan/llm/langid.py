@@ -7,13 +7,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilscan.llm.base import ship, slices
-from veilscan.llm.words import distinct_words, ngram_features, parts, segment_sums
+from veilscan.llm.base import ship, slices, staged
+from veilscan.llm.words import distinct_words, ngram_features, parts, segment_sums, training_rows
 
 ORDERS = (1, 2, 3)
+BUCKETS = 1 << 15
 UNDETERMINED = "und"
 #: A document's n-gram shares add up to this.
 SCALE = 8.0
@@ -52,17 +53,19 @@ def codewords(n: int, seed: int = 11) -> np.ndarray:
     return best
 
 
-def labelled_sample(docs: DataFrame, per_language: int, max_bytes: int) -> DataFrame:
-    """``(text, lang)``: about ``per_language`` documents of each language, drawn by the hash of the id."""
-    named = docs.where("lang is not null and text is not null")
-    counts = {r["lang"]: r["n"] for r in named.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return named.select("text", "lang").limit(0)
-    steps = 1 << 20
-    share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items())
-                           for x in (lang, min(steps, 1 + steps * per_language // n))])
-    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(steps)) < share[F.col("lang")]
-    return named.where(drawn & (F.octet_length("text") <= max_bytes)).select("text", "lang")
+def labelled_sample(docs: DataFrame, per_language: int) -> tuple[DataFrame, int]:
+    """``(text, h, lang)``: at most ``per_language`` documents of each language, of any length, and the number of languages.
+
+    They are drawn by the hash of id and text. The hashes are ranked first, so only texts that may be drawn move, and
+    then these, as equal rows have equal hashes: null or repeated ids don't exceed the bound.
+    """
+    named = docs.where("lang is not null and text is not null").select("text", "lang", F.xxhash64("doc_id", "text").alias("h"))
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    last = (named.select("lang", "h").withColumn("n", turn).where(F.col("n") <= per_language)
+            .groupBy("lang").agg(F.max("h").alias("last")))
+    last = staged(last, "last-drawn")
+    drawn = named.join(F.broadcast(last), "lang").where("h <= last").withColumn("n", turn).where(F.col("n") <= per_language)
+    return drawn.select("text", "h", "lang"), last.count()
 
 
 def _ngram_shares(texts: pa.Array, buckets: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -83,8 +86,13 @@ def _ngram_shares(texts: pa.Array, buckets: int) -> list[tuple[np.ndarray, np.nd
     return rows
 
 
-def fit(texts: list[str] | pa.Array, langs: list[str], buckets: int = 1 << 15, epochs: int = 5, rate: float = 2.0,
-        seed: int = 3) -> LanguageModel:
+def fit(texts: list[str] | pa.Array, langs: list[str], buckets: int = BUCKETS, **how) -> LanguageModel:
+    """``fit_rows`` on the texts themselves."""
+    return fit_rows([row for part in parts(texts) for row in _ngram_shares(part, buckets)], langs, buckets, **how)
+
+
+def fit_rows(rows: list[tuple[np.ndarray, np.ndarray]], langs: list[str], buckets: int = BUCKETS, epochs: int = 5, rate: float = 2.0,
+             seed: int = 3) -> LanguageModel:
     """One logistic classifier per bit of the codewords, all bits at once, by gradient steps in numpy."""
     languages = tuple(sorted(set(langs)))
     codes = codewords(len(languages))
@@ -94,7 +102,6 @@ def fit(texts: list[str] | pa.Array, langs: list[str], buckets: int = 1 << 15, e
         return LanguageModel(languages, codes, weights, bias)
     label = np.searchsorted(languages, langs)
     balance = (len(label) / (len(languages) * np.bincount(label))).astype("f4")
-    rows = [row for part in parts(texts) for row in _ngram_shares(part, buckets)]
     rng, step, total = np.random.default_rng(seed), 0, epochs * len(rows)
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
@@ -150,7 +157,8 @@ def identify(docs: DataFrame, model: LanguageModel, ambiguous_below: float = 0.6
     return docs.mapInArrow(run, schema)
 
 
-def train(docs: DataFrame, per_language: int = 300, max_bytes: int = 1 << 14) -> LanguageModel:
-    """A model from ``docs(doc_id, text, lang)``; about ``per_language`` texts of at most ``max_bytes`` each."""
-    sample = labelled_sample(docs, per_language, max_bytes).toArrow()
-    return fit(sample["text"].combine_chunks(), sample["lang"].to_pylist())
+def train(docs: DataFrame, per_language: int = 800, total_bytes: int = 64 << 20) -> LanguageModel:
+    """A model from ``docs(doc_id, text, lang)``; at most ``per_language`` texts each, whose n-grams take ``total_bytes`` at most."""
+    sample, languages = labelled_sample(docs, per_language)
+    rows, langs = training_rows(sample, "lang", lambda t: _ngram_shares(t, BUCKETS), total_bytes, languages)
+    return fit_rows(rows, langs)

@@ -7,13 +7,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilscan.llm.base import ship, slices
-from veilscan.llm.words import distinct_words, ngram_features, parts, segment_sums
+from veilscan.llm.words import distinct_words, ngram_features, parts, segment_sums, training_rows
 
 ORDERS = (1, 3, 4)
+BUCKETS = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -34,19 +35,19 @@ def _repeats(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return segment_sums(same, starts)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, max_docs: int, max_bytes: int) -> DataFrame:
-    """``(text, label)`` of at most ``max_docs`` labelled documents, drawn by the hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, max_docs: int) -> DataFrame:
+    """``(text, h, label)`` of at most ``max_docs`` labelled documents of any length, drawn by the hash of the id.
 
-    The ids are drawn from the labels alone; only that bounded list is broadcast to the documents.
+    Both labels get half of the places, or what the other leaves. The ids are drawn from the labels alone; only that
+    bounded list is broadcast to the documents. Of a repeated id one text counts.
     """
-    drawn = (
-        labels.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
-        .groupBy("doc_id").agg(F.min("label").alias("label"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs))
-    return (
-        docs.select("doc_id", "text").where(F.octet_length("text") <= max_bytes)
-        .join(F.broadcast(drawn), "doc_id").orderBy(F.xxhash64("doc_id"), "text").limit(2 * max_docs)
-        .select("text", "label"))
+    known = (labels.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("label").alias("label"))
+             .withColumn("at", F.xxhash64("doc_id")))
+    first = [known.where(F.col("label") == c).orderBy("at", "doc_id").limit(max_docs) for c in (0, 1)]
+    turn = F.row_number().over(Window.partitionBy("label").orderBy("at", "doc_id"))
+    drawn = first[0].unionByName(first[1]).withColumn("turn", turn).orderBy("turn", "label").limit(max_docs).select("doc_id", "label")
+    found = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(drawn), "doc_id").withColumn("h", F.xxhash64("doc_id", "text"))
+    return found.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("h"))).where("n = 1").select("text", "h", "label")
 
 
 def _feature_shares(texts: pa.Array, buckets: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -68,8 +69,13 @@ def _feature_shares(texts: pa.Array, buckets: int) -> list[tuple[np.ndarray, np.
     return rows
 
 
-def fit(texts: list[str] | pa.Array, labels: list[int], buckets: int = 1 << 16, dim: int = 8, epochs: int = 5,
-        rate: float = 0.5, seed: int = 7) -> QualityModel:
+def fit(texts: list[str] | pa.Array, labels: list[int], buckets: int = BUCKETS, **how) -> QualityModel:
+    """``fit_rows`` on the texts themselves."""
+    return fit_rows([row for part in parts(texts) for row in _feature_shares(part, buckets)], labels, buckets, **how)
+
+
+def fit_rows(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int], buckets: int = BUCKETS, dim: int = 8, epochs: int = 5,
+             rate: float = 0.5, seed: int = 7) -> QualityModel:
     """Stochastic gradient descent, one document a step, in plain numpy. Classes are weighted alike.
 
     Without documents, or with one class only, the model answers that class's share for every text.
@@ -82,7 +88,6 @@ def fit(texts: list[str] | pa.Array, labels: list[int], buckets: int = 1 << 16,
     if counts.min() == 0:
         bias[:] = np.log((counts + 0.5) / (counts.sum() + 1))
         return QualityModel(vectors, output, bias)
-    rows = [row for part in parts(texts) for row in _feature_shares(part, buckets)]
     weight = (counts.sum() / (2.0 * counts)).astype("f4")
     total, step = epochs * len(rows), 0
     for _ in range(epochs):
@@ -131,7 +136,7 @@ def score(docs: DataFrame, model: QualityModel, name: str = "score") -> DataFram
     return docs.mapInArrow(run, schema)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = 1500, max_bytes: int = 1 << 15) -> QualityModel:
-    """A model from ``labels(doc_id, label)``; at most ``max_docs`` documents of at most ``max_bytes`` each."""
-    sample = labelled_sample(docs, labels, max_docs, max_bytes).toArrow()
-    return fit(sample["text"].combine_chunks(), sample["label"].to_pylist())
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = 3000, total_bytes: int = 128 << 20) -> QualityModel:
+    """A model from ``labels(doc_id, label)``; at most ``max_docs`` documents, whose features take ``total_bytes`` at most."""
+    rows, y = training_rows(labelled_sample(docs, labels, max_docs), "label", lambda t: _feature_shares(t, BUCKETS), total_bytes, 2)
+    return fit_rows(rows, y)

@@ -5,8 +5,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
-from veilscan.llm.base import mix64
+from veilscan.llm.base import mix64, ship
 
 
 def distinct_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -61,6 +63,36 @@ def ngram_features(words: list[str], orders: tuple[int, ...], buckets: int, whol
     return np.concatenate(found)[order], starts
 
 
+def training_rows(sample: DataFrame, kind: str, shares, total_bytes: int, kinds: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], list]:
+    """``(rows, kinds)`` of ``sample(text, h, kind)``: what ``shares`` makes of every text, worked out in Spark tasks.
+
+    Only these rows reach the driver, long texts among them. Each of ``kinds`` values of ``kind`` has an equal part of
+    ``total_bytes``; its rows count in order of ``h`` until that is used up, and the first one always does.
+    """
+    ship(sample.sparkSession)
+    schema = sample.select("h", kind).withColumns({"ids": F.array().cast("array<int>"), "shares": F.array().cast("array<float>")}).schema
+
+    def run(batches):
+        for batch in batches:
+            for i in range(len(batch)):
+                one = batch.slice(i, 1)
+                ids, share = shares(one.column("text"))[0]
+                yield pa.RecordBatch.from_arrays(
+                    [one.column("h"), one.column(kind), pa.array([ids], pa.list_(pa.int32())), pa.array([share], pa.list_(pa.float32()))],
+                    ["h", kind, "ids", "shares"])
+
+    before = Window.partitionBy(kind).orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
+    used = F.coalesce(F.sum(8 * F.size("ids")).over(before), F.lit(0))
+    part = total_bytes // max(1, kinds)
+    # The bytes of a row count too, but for the first of its kind.
+    fits = (used == 0) | (used + 8 * F.size("ids") <= part)
+    found = sample.mapInArrow(run, schema).withColumn("fits", fits).where("fits").drop("fits").orderBy(kind, "h").toArrow()
+    rows = []
+    for ids, share in zip(found["ids"], found["shares"], strict=True):
+        rows.append((ids.values.to_numpy(zero_copy_only=False).astype("i4"), share.values.to_numpy(zero_copy_only=False).astype("f4")))
+    return rows, found[kind].to_pylist()
+
+
 def segment_sums(values: np.ndarray, starts: np.ndarray, kind: str | None = None) -> np.ndarray:
     """Sum of ``values`` (as ``kind``) in each segment ``starts[i]:starts[i + 1]``; empty segments give zero."""
     shape = (len(starts) - 1, *values.shape[1:])
