@@ -119,6 +119,20 @@ def test_extraction_leaves_out_what_stands_beside(inner, spark):
     assert extract.main_text(PAGE % inner, weights) == TEXT
 
 
+@pytest.mark.parametrize("page", [
+    '<body><div title="The hidden cost of rent" class="a hidden b">%s</div></body>', "<html><head><title>T</title><meta charset=u><body><div>%s</div>",
+    '<head><style>p{}</style><div><svg width="1"/>%s</div>', '<div class="content-sidebar-wrap has-sidebar"><article class="post comments-open">%s</article></div>',
+    '<form id=aspnet><div class="sidebar"><main>%s</main></div></form>', '<div class="widget"><div>%s</div></div><div class="sidebar-box">more to see</div>'])
+def test_extraction_keeps_what_only_looks_beside(page):
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    assert extract.main_text(page % f"<p>{text}</p>", extract.Weights()) == text
+
+
+def test_extraction_drops_the_hidden():
+    page = '<p>one two three four five six</p><p hidden>gone</p><div aria-hidden="true">gone</div><i style="display: none">gone</i><p>seven eight nine</p>'
+    assert extract.main_text(page, extract.Weights()) == "one two three four five six seven eight nine"
+
+
 def test_extraction_of_odd_pages(spark):
     weights = extract.Weights()
     for page, want in (("", ""), ("<", ""), ("plain words", "plain words"), ("<p>a<p>b", "a b"), ("<article>x <b>y</b>z<br>w", "x yz w"),

@@ -15,14 +15,17 @@ from pyspark.sql import functions as F
 from veilscan.llm.base import ship, slices
 
 #: Elements whose content is never text.
-SILENT = "script|style|noscript|template|iframe|object|svg|math|canvas|video|audio|select|textarea|button|head|title"
+SILENT = "script|style|noscript|template|iframe|object|svg|math|canvas|video|audio|select|textarea|button|title"
+#: What a head may hold; any other opening tag ends it, as its closing tag may be left out.
+IN_HEAD = frozenset("base basefont bgsound link meta noscript script style template title".split())
 #: Elements that hold something beside the article.
 ASIDE = frozenset("nav header footer aside form menu dialog fieldset".split())
-#: Words in a class, id or role that say the same of any element.
-_BESIDE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|complementary|cookies?|consent|disqus|footer|masthead|"
-    r"menu|nav|navbar|navigation|newsletter|notices?|popup|promo\w*|related|replies|reply|respond|share|sharing|sidebar|social|"
-    r"sponsor\w*|subscribe|teasers?|toolbar|widget|(?:site|page|top|global)[_-]?header)(?=$|[\s_-])|(?:^|\s)(?:header|form)(?=$|\s)", re.I)
+#: A class, id or role made of these words says the same of any element, and may have the plain words behind as company.
+_BESIDE_WORD = (r"(?:ads?|advert\w*|banner|breadcrumbs?|comments?|complementary|cookies?|consent|disqus|footer|masthead|menu|nav|navbar|navigation|"
+                r"newsletter|notices?|popup|promo\w*|related|replies|reply|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|teasers?|"
+                r"toolbar|widget|(?:site|page|top|global)[_-]?header)")
+_PLAIN = r"(?:site|page|main|top|bottom|left|right|global|primary|secondary|box|block|area|list|bar|container|wrap|wrapper|inner|section|links?|items?|posts?|form|\d+)"
+_BESIDE = re.compile(rf"(?:(?:{_PLAIN}[_-]+)*{_BESIDE_WORD}(?:[_-]+(?:{_BESIDE_WORD}|{_PLAIN}))*|header|form)", re.I)
 #: Elements that run on inside a line; every other tag parts two blocks.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike "
@@ -31,10 +34,10 @@ INLINE = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
+    rf"|<(?!(?:script|style|title|textarea)\b)(?:{SILENT})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>"
     rf"|<({SILENT})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S | re.I)
-_KIND = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?=\s|$|=)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
 @dataclass(frozen=True)
@@ -46,13 +49,63 @@ class Weights:
     tags: dict[str, float] = field(default_factory=dict)
 
 
+def _says_beside(attributes: str) -> tuple[bool, bool]:
+    """``(beside, hidden)``: what an element's class, id or role, and its hidden, aria-hidden or style say."""
+    beside = hidden = False
+    for name, a, b, c in _ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), a or b or c
+        if name in ("class", "id", "role"):
+            beside = beside or any(map(_BESIDE.fullmatch, value.split()))
+        elif name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true":
+            hidden = True
+        elif name == "style":
+            hidden = hidden or bool(re.search(r"display\s*:\s*none", value, re.I))
+    return beside, hidden
+
+
+def _holders(matches: list[re.Match]) -> set[int]:
+    """Places of opening tags whose element holds a ``<main>`` or all ``<article>`` of the page, or without such marks
+    most of its words: none of these stands beside the article."""
+    stack: list[tuple[str, int, int, int, int]] = []
+    ended, mains, articles, words = [], 0, 0, 0
+    open_names: Counter = Counter()
+    for i, match in enumerate(matches):
+        slash, name, attributes = match[2], match[3], match[4]
+        if not name:
+            words += len(match[0].split()) if match[0][0] != "<" else 0
+            continue
+        name = name.lower()
+        if slash:
+            while open_names[name]:
+                last = stack.pop()
+                open_names[last[0]] -= 1
+                ended.append((last[1], mains - last[2], articles - last[3], words - last[4]))
+                if last[0] == name:
+                    break
+            continue
+        if name not in VOID and not attributes.rstrip().endswith("/"):
+            stack.append((name, i, mains, articles, words))
+            open_names[name] += 1
+        mains += name == "main"
+        articles += name == "article"
+    ended += [(i, mains - m, articles - a, words - w) for _, i, m, a, w in stack]
+    if mains or articles:
+        return {i for i, m, a, _ in ended if m or articles and a == articles}
+    return {i for i, _, _, w in ended if 2 * w > words}
+
+
 def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
     """``(kind, value, beside)``: kind is ``text``, ``open``, ``close`` or ``other``; ``beside`` says whether the place
-    lies in an element beside the article (by name, class, id or role) or is hidden. Unclosed elements end with
-    the nearest enclosing one that is closed."""
+    lies in an element beside the article (by name, class, id or role), in the head, or is hidden. What holds the article
+    is not beside it by class, id or role, nor if it is a form. Unclosed elements end with the nearest enclosing one
+    that is closed."""
     stack: list[tuple[str, bool]] = []
-    for match in _TOKEN.finditer(page):
+    matches = list(_TOKEN.finditer(page))
+    holders = _holders(matches)
+    for i, match in enumerate(matches):
         silent, slash, name, attributes = match[1], match[2], match[3], match[4]
+        if name and not slash and name.lower() not in IN_HEAD and stack and stack[-1][0] == "head":
+            stack.pop()
         beside = bool(stack) and stack[-1][1]
         if name:
             name = name.lower()
@@ -63,9 +116,9 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
                 yield "close", name, beside
                 continue
             if attributes:
-                kinds = " ".join(a or b or c for a, b, c in _KIND.findall(attributes))
-                beside = beside or bool(kinds and _BESIDE.search(kinds)) and name not in ("html", "body") or bool(_HIDDEN.search(attributes))
-            beside = beside or name in ASIDE and not _in_article(stack, name)
+                says, hidden = _says_beside(attributes)
+                beside = beside or hidden or says and name not in ("html", "body") and i not in holders
+            beside = beside or name == "head" or name in ASIDE and not _in_article(stack, name) and not (name == "form" and i in holders)
             if name not in VOID and not attributes.rstrip().endswith("/"):
                 if name == "p" and stack and stack[-1][0] == "p":
                     stack.pop()
