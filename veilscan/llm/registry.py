@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilscan.llm import exact, extract, jaccard, langid, lines, neighbours, packing, pieces, pseudo, quality
-from veilscan.llm.base import crc_mod, table
+from veilscan.llm import align, bytepairs, exact, extract, jaccard, langid, lines, neighbours, packing, pieces, prefixes, pseudo, quality
+from veilscan.llm.base import crc_mod, staged, table
 
 QUALITY_KEPT = 0.7
 
@@ -80,6 +80,35 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.decide(table(spark, sf_dir, "documents"))
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text by byte-level BPE, and the text they decode to, as digests. A row per row; null is empty."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = bytepairs.decode(bytepairs.encode(docs).drop("text"))
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of the two tokenizers' tokens of every text. A row per row, repeated ones too; texts that are
+    null, empty or not given back by a tokenizer have zeros and an empty digest."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
+    aligned = staged(align.align(docs, wanted=("links", "written")).select(
+        "row", "doc_id", "n_a", "n_b", "n_groups", "links",
+        F.when(F.col("n_a") > 0, F.sha2("written", 256)).otherwise("").alias("groups_sha256")), "aligned")
+    sums = align.link_sums(aligned, align.link_counts(aligned), "row")
+    found = ("n_links", "n_best", "count_sum")
+    return aligned.join(sums, "row", "left").select(
+        "doc_id", "n_a", "n_b", "n_groups", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in found), "groups_sha256")
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the trie of rebuilt conversations. Rows without ``conv_id`` take no part; no conversations, no nodes."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return prefixes.prefix_trie(prefixes.rebuilt(prefixes.sequences(turns)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_nearest_neighbours": op2_nearest_neighbours,
@@ -91,6 +120,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_language_id": op9_language_id,
     "op10_line_dedup": op10_line_dedup,
+    "op11_bpe": op11_bpe,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
 ORACLES: dict[str, str] = {"op4_exact_dedup": OP4_SQL}
