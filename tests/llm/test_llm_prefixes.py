@@ -23,7 +23,8 @@ def plain_trie(rows):
     nodes = {}
     for c, turns in given.items():
         h = zlib.crc32(str(c).encode()) % 6
-        made = tuple(given.get(c - c % 100, [])[:h] + turns[h:])
+        base = c - (c % 100 if c >= 0 else -(-c % 100))  # the remainder has the sign of the id, as in SQL
+        made = tuple(given.get(base, [])[:h] + turns[h:])
         for d in range(len(made) + 1):
             nodes.setdefault(made[:d], []).append((c, d == len(made)))
     children, leaves, saved = {}, {}, {}

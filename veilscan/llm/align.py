@@ -63,8 +63,9 @@ class Pieces:
         else:
             ids, ends = self.table.join([pieces.chunks(t) if t else [] for t in texts])
             odd = np.concatenate([[0], np.cumsum(ids < 0)])[ends]
-            # A chunk with U+2581 is written otherwise on its own, and in its text too; only such texts are looked at whole.
-            doubtful, counts = np.flatnonzero(np.diff(odd)).tolist(), np.diff(ends - odd)
+            # Chunks are cut at U+2581 as at spaces, so only a text with that sign or an odd chunk is looked at whole.
+            marked = np.fromiter((pieces.MARK in t for t in texts), dtype=bool, count=len(texts))
+            doubtful, counts = np.flatnonzero(marked | (np.diff(odd) > 0)).tolist(), np.diff(ends - odd)
             ids = ids[ids >= 0]
         same, ends = np.asarray([bool(t) for t in texts], dtype=bool), np.cumsum(counts)
         for i in doubtful:

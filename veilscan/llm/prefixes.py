@@ -74,7 +74,7 @@ def sequences(turns: DataFrame) -> DataFrame:
 def rebuilt(found: DataFrame, every: int = 100, most: int = 6) -> DataFrame:
     """``found`` (of ``sequences``) with the first ``h`` turns of each conversation replaced by those of the conversation
     ``conv_id - conv_id % every``: all it has if fewer, none if it is absent; ``h`` is the crc32 of the id's digits modulo
-    ``most``. At most ``every`` conversations share a head, and only ``most - 1`` turns of it move."""
+    ``most``; the remainder has the sign of the id. At most ``every`` conversations share a head, and only ``most - 1`` turns of it move."""
     found = staged(found, "sequences")
     heads = found.where(F.col("conv_id") % every == 0).select(
         F.col("conv_id").alias("base"), F.substring("key", 1, WIDTH * (most - 1)).alias("head_key"),
