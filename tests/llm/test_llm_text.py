@@ -50,6 +50,18 @@ def test_pieces_with_a_table_that_overflows(monkeypatch):
         assert [np.frombuffer(g, "<i4").tolist() for g in got] == model.encode(ODD)
 
 
+def test_repeated_rows_are_packed_in_many_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_WINDOWS", 2)
+    rows = spark.createDataFrame([(None, 100, "x")] * 3000, "doc_id long, length long, group string").repartition(8)
+    found = packing.pack(rows).collect()
+    assert len(found) == 3000 and {r.group for r in found} == {"x"}
+    filled = {}
+    for r in found:
+        filled.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert all([o for o, _ in sorted(f)] == list(range(0, 100 * len(f), 100)) and len(f) <= 20 for f in filled.values())
+    assert len({s >> 32 for s in filled}) > 50
+
+
 def test_packing_holds_every_id_once(spark, monkeypatch):
     from tokenizers import Tokenizer
 

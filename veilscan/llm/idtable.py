@@ -66,15 +66,18 @@ class IdTable:
     def look_up(self, strings: list[str]) -> np.ndarray:
         """The code of every string, each of which is then in the table."""
         codes = np.fromiter(map(self.codes.get, strings, repeat(-1)), dtype="i4", count=len(strings))
-        new = list({strings[i] for i in np.flatnonzero(codes < 0).tolist()})
-        if not new:
+        missing = np.flatnonzero(codes < 0).tolist()
+        if not missing:
             return codes
+        new = list({strings[i] for i in missing})
         if self.codes and (len(self.codes) + len(new) > self.entries or self.characters + 4 * self.used > self.size):
+            # What was found may go as well, so all strings are looked up again.
             self._trim()
-            new = list(set(strings).difference(self.codes))
+            new, missing = list(set(strings).difference(self.codes)), range(len(strings))
         if new:
             self._learn(new)
-        return np.fromiter(map(self.codes.__getitem__, strings), dtype="i4", count=len(strings))
+        codes[missing] = np.fromiter((self.codes[strings[i]] for i in missing), dtype="i4", count=len(missing))
+        return codes
 
     def join(self, lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """``(ids, offsets)``: the runs of each list's strings joined; offsets have one entry more than lists."""

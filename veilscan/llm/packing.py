@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -12,19 +13,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilscan.llm.base import ship, slices, staged
+from veilscan.llm.idtable import IdTable
 
 WINDOW = 2048
 #: What a document leaves beyond full windows is cut at this length: small items even out windows.
 REST = 512
 #: Windows that one group of pieces fills; the work of a task grows with pieces x windows of a group.
 GROUP_WINDOWS = 192
-#: Distinct words and parts whose ids a worker remembers; beyond that only the first third stays.
-WORDS_KEPT = 600_000
+#: What a worker remembers at most: distinct words, distinct parts of words, and bytes of each of the two.
+WORDS_KEPT, PARTS_KEPT, KEPT_BYTES = 600_000, 300_000, 64 << 20
 #: Bytes of text worked on at once; as words they take about ten times that.
 SLICE_BYTES = 3 << 20
 #: Words handed to the tokenizer at once.
 WORD_BATCH = 4096
-_tables: dict[str, tuple] = {}
+_tables: dict[str, IdTable] = {}
 
 
 def tokenizer_path(name: str) -> str:
@@ -47,18 +49,6 @@ def _words(text: str | None) -> list[str]:
     return text.split()
 
 
-def _word_table(path: str) -> tuple:
-    """The tokenizer of this worker and its table from words to ids (little-endian 32-bit)."""
-    if path not in _tables:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        _tables[path] = (Tokenizer.from_file(path), {})
-    return _tables[path]
-
-
 def _halves(word: str) -> tuple[str, str]:
     """A word as letters and the marks behind them, where the tokenizer parts the two anyway, else the word alone.
 
@@ -69,24 +59,29 @@ def _halves(word: str) -> tuple[str, str]:
     return letters.lower() if letters.isascii() and letters.isalpha() else letters, marks
 
 
-def _learn(path: str, lists: list[list[str]]) -> dict[str, bytes]:
-    """The worker's table, holding the ids of every word in ``lists`` and of the parts of words, each tokenized once."""
-    tokenizer, table = _word_table(path)
-    new = set().union(*lists).difference(table)
-    if len(table) + len(new) > WORDS_KEPT:
-        # The first that came hold the common words; the rest makes room.
-        for word in list(table)[WORDS_KEPT // 3:]:
-            del table[word]
-        new = set().union(*lists).difference(table)
-    halves = {w: _halves(w) for w in new}
-    parts = list(set().union(*halves.values()).difference(table, [""]))
-    for i in range(0, len(parts), WORD_BATCH):
-        some = parts[i:i + WORD_BATCH]
-        for part, encoded in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-            table[part] = np.asarray(encoded.ids, dtype="<u4").tobytes()
-    for word, (letters, marks) in halves.items():
-        table[word] = table[letters] + table[marks] if marks else table[letters]
-    return table
+def _word_table(path: str) -> IdTable:
+    """This worker's table from words to ids, made of a table of their parts, each of which is tokenized once."""
+    if path not in _tables:
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+
+        def tokenized(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            lists = [e.ids for i in range(0, len(parts), WORD_BATCH)
+                     for e in tokenizer.encode_batch_fast(parts[i:i + WORD_BATCH], add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(lists), dtype="i4"), np.fromiter(map(len, lists), dtype="i8", count=len(lists))
+
+        halves = IdTable(tokenized, PARTS_KEPT, KEPT_BYTES)
+
+        def joined(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            ids, ends = halves.join([[letters, marks] if marks else [letters] for letters, marks in map(_halves, words)])
+            return ids, np.diff(ends)
+
+        _tables[path] = IdTable(joined, WORDS_KEPT, KEPT_BYTES)
+    return _tables[path]
 
 
 def pieces(docs: DataFrame, path: str, end_id: int = 1, window: int = WINDOW, rest: int = REST) -> DataFrame:
@@ -106,25 +101,22 @@ def pieces(docs: DataFrame, path: str, end_id: int = 1, window: int = WINDOW, re
     schema = ", ".join([*fields, extra])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end = np.asarray([end_id], dtype="<u4").tobytes()
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
-                lists = list(map(_words, part.column("text").to_pylist()))
-                table = _learn(path, lists)
-                row, start, length, ids, total = [], [], [], [], []
-                for i, words in enumerate(lists):
-                    raw = b"".join([*map(table.__getitem__, words), end])
-                    full = len(raw) - len(raw) % (4 * window)
-                    for at in (*range(0, full, 4 * window), *range(full, len(raw), 4 * rest)):
-                        piece = raw[at:at + 4 * (window if at < full else rest)]
-                        row.append(i)
-                        start.append(at // 4)
-                        length.append(len(piece) // 4)
-                        ids.append(piece)
-                        total.append(len(raw) // 4)
+                ids, ends = _word_table(path).join(list(map(_words, part.column("text").to_pylist())))
+                ids, total = np.insert(ids, ends[1:], end_id).astype("<u4"), np.diff(ends) + 1
+                full, many = total // window, total // window + -(-(total % window) // rest)
+                row = np.repeat(np.arange(len(total)), many)
+                # The number of each piece in its document; full windows come first.
+                number = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                whole = number < full[row]
+                start = np.where(whole, number * window, full[row] * window + (number - full[row]) * rest)
+                length = np.minimum(np.where(whole, window, rest), total[row] - start)
+                at = np.concatenate([[0], np.cumsum(length)]).astype("i4") * 4
+                raw = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(ids.tobytes())])
                 kept = part.select(others).take(pa.array(row, pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [*kept.columns, pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary()), pa.array(total, pa.int64())],
+                    [*kept.columns, pa.array(start, pa.int64()), pa.array(length, pa.int64()), raw, pa.array(total[row], pa.int64())],
                     [*others, "start", "length", "ids", "doc_tokens"])
 
     return docs.mapInArrow(run, schema)
@@ -188,13 +180,16 @@ def pack(cut: DataFrame, window: int = WINDOW) -> DataFrame:
     gapless from 0. An empty input gives an empty result. Columns of these names are replaced.
     """
     cut = cut.drop("sequence_id", "offset")
+    group = "group"
+    while group in cut.columns:
+        group += "_"
     total = cut.where(F.col("length") < window).agg(F.sum("length")).first()[0] or 0
     groups = max(1, -(-total // (GROUP_WINDOWS * window)))
     schema = cut.select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).schema
 
     def assign(rows: pa.Table) -> pa.Table:
-        sizes, base = rows["length"].to_numpy().astype("i8"), rows["group"][0].as_py() << 32
-        rows = rows.drop_columns(["group"])
+        sizes, base = rows["length"].to_numpy().astype("i8"), rows[group][0].as_py() << 32
+        rows = rows.drop_columns([group])
         found = share_out(sizes, window)
         order = np.argsort(found, kind="stable")
         before = np.cumsum(sizes[order]) - sizes[order]
@@ -205,8 +200,12 @@ def pack(cut: DataFrame, window: int = WINDOW) -> DataFrame:
 
     full = cut.where(F.col("length") == window).select(
         "*", (-F.monotonically_increasing_id() - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    dealt = cut.where(F.col("length") < window).withColumn("group", F.pmod(F.xxhash64(*[c for c, t in cut.dtypes if not t.startswith("map")]), F.lit(groups)).cast("long"))
-    return full.unionByName(dealt.groupBy("group").applyInArrow(assign, schema))
+    # Rows of null ids may repeat at will; by their number they do not share a group. Of other ids, equal rows do.
+    values = [c for c, t in cut.dtypes if not t.startswith("map")]
+    some_null = F.array_contains(F.array(*(F.col(c).isNull() for c in values)), True)
+    number = F.when(some_null, F.xxhash64(F.monotonically_increasing_id())).otherwise(F.xxhash64(*values))
+    dealt = cut.where(F.col("length") < window).withColumn(group, F.pmod(number, F.lit(groups)).cast("long"))
+    return full.unionByName(dealt.groupBy(group).applyInArrow(assign, schema))
 
 
 def packed(docs: DataFrame, path: str | None = None, end_id: int = 1, window: int = WINDOW) -> DataFrame:
