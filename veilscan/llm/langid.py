@@ -15,6 +15,8 @@ from veilscan.llm.words import distinct_words, ngram_features, parts, segment_su
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
+#: Bytes of text worked on at once.
+SLICE_BYTES = 1 << 20
 UNDETERMINED = "und"
 #: A document's n-gram shares add up to this.
 SCALE = 8.0
@@ -56,15 +58,20 @@ def codewords(n: int, seed: int = 11) -> np.ndarray:
 def labelled_sample(docs: DataFrame, per_language: int) -> tuple[DataFrame, int]:
     """``(text, h, lang)``: at most ``per_language`` documents of each language, of any length, and the number of languages.
 
-    They are drawn by the hash of id and text. The hashes are ranked first, so only texts that may be drawn move, and
-    then these, as equal rows have equal hashes: null or repeated ids don't exceed the bound.
+    They are drawn by the hash of id and text. Rows are counted per language and step of the hash, in steps that grow
+    with it, so the last step that is needed holds few rows more than asked for and only those are ranked. Equal rows
+    have equal hashes: null or repeated ids don't exceed the bound.
     """
+    # The hash from 0 on, in sixteenths of its logarithm: about a thousand steps.
+    step = F.floor(16 * F.log2(F.col("h").cast("double") + F.lit(2.0**63 + 1))).cast("int")
     named = docs.where("lang is not null and text is not null").select("text", "lang", F.xxhash64("doc_id", "text").alias("h"))
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    last = (named.select("lang", "h").withColumn("n", turn).where(F.col("n") <= per_language)
-            .groupBy("lang").agg(F.max("h").alias("last")))
+    below = Window.partitionBy("lang").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    counts = named.select("lang", step.alias("step")).groupBy("lang", "step").agg(F.count("*").alias("n"))
+    last = (counts.withColumn("before", F.coalesce(F.sum("n").over(below), F.lit(0))).where(F.col("before") < per_language)
+            .groupBy("lang").agg(F.max("step").alias("last")))
     last = staged(last, "last-drawn")
-    drawn = named.join(F.broadcast(last), "lang").where("h <= last").withColumn("n", turn).where(F.col("n") <= per_language)
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    drawn = named.join(F.broadcast(last), "lang").where(step <= F.col("last")).withColumn("n", turn).where(F.col("n") <= per_language)
     return drawn.select("text", "h", "lang"), last.count()
 
 
@@ -134,7 +141,7 @@ def identify(docs: DataFrame, model: LanguageModel, ambiguous_below: float = 0.6
         m = shared.value
         names = np.asarray([*m.languages, UNDETERMINED], dtype=object)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 words, codes, starts = distinct_words(part.column("text"))
                 letter = np.fromiter((any(map(str.isalpha, w)) for w in words), dtype="f4", count=len(words))
                 known = segment_sums(letter[codes], starts) > 0
