@@ -21,7 +21,7 @@ REST = 512
 #: Windows that one group of pieces fills; the work of a task grows with pieces x windows of a group.
 GROUP_WINDOWS = 192
 #: What a worker remembers at most: distinct words, distinct parts of words, and bytes of each of the two.
-WORDS_KEPT, PARTS_KEPT, KEPT_BYTES = 600_000, 300_000, 64 << 20
+WORDS_KEPT, PARTS_KEPT, KEPT_BYTES = 1_200_000, 600_000, 128 << 20
 #: Bytes of text worked on at once; as words they take about ten times that.
 SLICE_BYTES = 3 << 20
 #: Words handed to the tokenizer at once.
