@@ -111,7 +111,10 @@ def evidence(raw: DataFrame) -> DataFrame:
 
 
 def candidates(ev: DataFrame) -> DataFrame:
-    """One row per screen and value; ``evidence`` is sorted best first."""
+    """One row per screen and value; ``evidence`` is the best of each type, best first, ``evidence_count`` all there is.
+
+    Matches are reduced per type before they meet, so a value repeated at will leaves one entry per type.
+    """
     item = F.struct(
         (-F.col("evidence_confidence")).alias("negative"),
         "ord", "pii_type", "source_rule", "ocr_confidence", "is_layout",
@@ -119,15 +122,20 @@ def candidates(ev: DataFrame) -> DataFrame:
         F.col("validation_confidence").alias("validation"),
         "aadhaar_valid", "aadhaar_checksum_valid", "start", "end", "line", "last_line",
     )
-    grouped = ev.groupBy("screen_id", "value_key").agg(
-        F.min_by("value", "ord").alias("value"),
-        F.min("ord").alias("first_ord"),
-        F.array_sort(F.collect_list(item)).alias("evidence"),
+    per_type = ev.groupBy("screen_id", "value_key", "pii_type").agg(
+        F.min(item).alias("item"), F.min(F.struct("ord", "value")).alias("first"), F.count("*").alias("n")
+    )
+    grouped = per_type.groupBy("screen_id", "value_key").agg(
+        F.min("first").alias("first"),
+        F.array_sort(F.collect_list("item")).alias("evidence"),
+        F.sum("n").alias("evidence_count"),
     )
     best = F.element_at("evidence", 1)
     return grouped.select(
-        "*",
-        F.array_distinct(F.transform("evidence", lambda e: e["pii_type"])).alias("candidate_types"),
+        "screen_id", "value_key",
+        F.col("first.value").alias("value"), F.col("first.ord").alias("first_ord"),
+        "evidence", "evidence_count",
+        F.transform("evidence", lambda e: e["pii_type"]).alias("candidate_types"),
         best["pii_type"].alias("best_type"),
         (-best["negative"]).alias("best_confidence"),
         best["aadhaar_valid"].alias("best_aadhaar_valid"),

@@ -521,10 +521,18 @@ def _(spark, sf):
     )
 
 
-@query("res_2_candidates", "SELECT screen_id, vkey, cand.value, b.pii_type AS best_type, best_conf AS best_confidence, n AS evidence_count FROM cand JOIN best b USING (screen_id, vkey)", "cand best")
+@query("res_2_candidates", """
+SELECT screen_id, vkey, cand.value, b.pii_type AS best_type, best_conf AS best_confidence, n AS evidence_count, types AS candidate_types
+FROM cand JOIN best b USING (screen_id, vkey) JOIN (
+  SELECT screen_id, vkey, string_agg(pii_type, ',' ORDER BY top DESC, first_ord) AS types FROM (
+    SELECT screen_id, vkey, pii_type, max(econf) AS top, arg_min(ord, (-econf, ord)) AS first_ord
+    FROM ev WHERE vkey <> '' GROUP BY screen_id, vkey, pii_type)
+  GROUP BY screen_id, vkey) USING (screen_id, vkey)
+""", "cand best ev")
 def _(spark, sf):
     return candidate_rows(spark, sf).select(
-        "screen_id", F.col("value_key").alias("vkey"), "value", "best_type", "best_confidence", F.size("evidence").cast("long").alias("evidence_count")
+        "screen_id", F.col("value_key").alias("vkey"), "value", "best_type", "best_confidence", "evidence_count",
+        F.array_join("candidate_types", ",").alias("candidate_types")
     )
 
 
