@@ -151,6 +151,41 @@ ALIAS_TO_TYPE = {alias: kind for kind, names in LABEL_ALIASES.items() for alias
 SUMMARY_STOP_LABELS = ["ministatement", "statement", "transactionhistory"]
 
 # --------------------------------------------------------------------------
+# Why a match was made, per detector and per kind of contextual rule
+DETECTOR_REASON = "Matched standard {} pattern"
+BALANCE_REASON = "Detected near balance keywords (e.g. 'Available Balance')"
+CUSTOMER_REASON = "Detected near Customer ID/CIF labels and validated as an identifier"
+UPI_PATH_REASON = "Detected inside UPI/Bank transaction structure"
+LABELLED_REASON = "Detected near Txn ID/Ref No labels"
+HISTORY_REASON = "Detected repeated date/amount tabular structure"
+NAME_REASON = "Line segment matches ALL CAPS name heuristics."
+AMOUNT_REASON = "Detected standalone financial transaction amount"
+LINE_REF_REASON = "Detected banking transaction reference '{}' with context keywords [{}] in OCR row: {}"
+ROW_KEYWORD = "transaction row"
+
+# How a value stands to its label, and what its form says
+SAME_BLOCK_RELATION = "same OCR block as label"
+BESIDE_RELATION = "same-row value to the right of label"
+BELOW_RELATION = "nearest vertically aligned value below label"
+FAR_RELATION = "not spatially aligned with label"
+INFERRED_RELATION = "found alphabetic name positioned below the account row"
+INFERRED_LABEL = "Account Holder Name"
+INFERRED_MAPPING = "Inferred holder name from alphabetic value immediately below Account Number label"
+ASSOCIATION_REASON = "Layout label-value association: {} -> {} ({})"
+INFERENCE_REASON = "Layout inference: {} -> {} ({})"
+NUMERIC_CUSTOMER_REASON = "numeric customer identifier candidate"
+# type, when it fits, when it does not
+VALUE_REASONS = [
+    ("CUSTOMER_ID", "alphanumeric customer identifier with digits", "customer id validation failed"),
+    ("BANK_ACCOUNT", "long numeric account number outside transaction context", "account number validation failed"),
+    ("IFSC", "valid IFSC format", "IFSC validation failed"),
+    ("ACCOUNT_BALANCE", "currency amount near balance label", "balance amount validation failed"),
+    ("ACCOUNT_HOLDER_NAME", "multi-word alphabetic account holder name", "account holder name validation failed"),
+    ("BRANCH_NAME", "alphabetic branch/location text", "branch name validation failed"),
+]
+NAME_WORD_REASON = "name contains invalid/banking keywords"
+NAME_MASK_REASON = "name consists of masking characters"
+
 # Entity catalogue (type, category, risk, display name)
 # --------------------------------------------------------------------------
 ENTITY_CATALOGUE = [

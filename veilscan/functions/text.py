@@ -104,3 +104,10 @@ def label_key(text: Column) -> Column:
 
 def clean_spaces(text: Column) -> Column:
     return F.regexp_replace(strip(text), r"[\s\x1c-\x1f\x85\p{Z}]+", " ")
+
+
+def filled(template: str, *values: Column) -> Column:
+    """A text with its ``{}`` replaced by the values, in order; a NULL value reads as empty."""
+    parts = [F.lit(p) for p in template.split("{}")]
+    pairs = [x for value, part in zip(values, parts[1:]) for x in (F.coalesce(value.cast("string"), F.lit("")), part)]
+    return F.concat(parts[0], *pairs)

@@ -13,12 +13,25 @@ from pyspark.sql import functions as F
 from veilscan.functions.numbers import rounded
 from veilscan.catalogs import (
     ALIAS_TO_TYPE,
+    ASSOCIATION_REASON,
+    BELOW_RELATION,
+    BESIDE_RELATION,
+    FAR_RELATION,
+    INFERENCE_REASON,
+    INFERRED_LABEL,
+    INFERRED_MAPPING,
+    INFERRED_RELATION,
     NAME_FORBIDDEN_TOKENS,
+    NAME_MASK_REASON,
+    NAME_WORD_REASON,
+    NUMERIC_CUSTOMER_REASON,
+    SAME_BLOCK_RELATION,
     SUMMARY_STOP_LABELS,
     TRANSACTION_KEYWORDS,
+    VALUE_REASONS,
 )
 from veilscan.functions.tables import explode_rows
-from veilscan.functions.text import clean_spaces, contains_any, label_key, normalised_value, quoted, words
+from veilscan.functions.text import clean_spaces, contains_any, filled, label_key, normalised_value, quoted, words
 from veilscan.operators.context import STAGE_LAYOUT, only_masking, text_bits
 
 AMOUNT_IN_TEXT = r"(?iu)(?:rs\.?|inr|₹)?\s*([0-9][0-9,]*\.\p{Nd}{2})"
@@ -153,8 +166,20 @@ def validation_confidence(entity_type: Column, value: Column, text: Column, line
     return F.coalesce(score, F.lit(0.0)).cast("double")
 
 
-def spatial_confidence(label, seg) -> Column:
-    """How well a segment sits right of or below a label; 0 when it does not."""
+def validation_reason(entity_type: Column, value: Column, validation: Column) -> Column:
+    """What ``validation_confidence`` saw in a value."""
+    name = F.when(F.arrays_overlap(F.split(value, r"\s+"), words(NAME_FORBIDDEN_TOKENS)), NAME_WORD_REASON).when(
+        only_masking(value), NAME_MASK_REASON
+    )
+    reason = F.when((entity_type == "CUSTOMER_ID") & (validation > 0) & ~value.rlike("[A-Z]"), NUMERIC_CUSTOMER_REASON)
+    for kind, fits, fails in VALUE_REASONS:
+        failed = F.coalesce(name, F.lit(fails)) if kind == "ACCOUNT_HOLDER_NAME" else F.lit(fails)
+        reason = reason.when(entity_type == kind, F.when(validation > 0, fits).otherwise(failed))
+    return reason
+
+
+def _relations(label, seg) -> tuple[Column, Column, Column]:
+    """Whether two runs share a block, stand in a row, or stand one below the other."""
     shared = F.arrays_overlap(label("block_indices"), seg("block_indices"))
     same_row = F.abs(seg("cy") - label("cy")) <= F.greatest(label("height"), seg("height")) * 0.75
     right = seg("x1") >= label("x2") - 2
@@ -169,17 +194,36 @@ def spatial_confidence(label, seg) -> Column:
         | (dx <= F.greatest(F.lit(55.0), label("width") * 0.65))
         | (F.abs(seg("cx") - label("cx")) <= F.greatest(F.lit(75.0), label("width")))
     )
+    below = (seg("cy") > label("cy")) & (gap <= F.greatest(F.lit(110.0), label("height") * 5))
+    return shared, same_row & right, below & aligned
+
+
+def spatial_confidence(label, seg) -> Column:
+    """How well a segment sits right of or below a label; 0 when it does not."""
+    shared, in_row, under_it = _relations(label, seg)
+    gap = F.greatest(F.lit(0.0), seg("y1") - label("y2"))
+    dx = F.abs(seg("x1") - label("x1"))
     beside = F.lit(0.88) - F.least(F.greatest(F.lit(0.0), seg("x1") - label("x2")) / 350.0, F.lit(0.45))
     under = F.lit(0.94) - F.least(gap / 180.0, F.lit(0.40)) - F.least(dx / 500.0, F.lit(0.15))
-    below = (seg("cy") > label("cy")) & (gap <= F.greatest(F.lit(110.0), label("height") * 5))
     return (
         F.when(shared, 0.0)
-        .when(same_row & right, F.greatest(F.lit(0.2), beside))
-        .when(below & aligned, F.greatest(F.lit(0.25), under))
+        .when(in_row, F.greatest(F.lit(0.2), beside))
+        .when(under_it, F.greatest(F.lit(0.25), under))
         .otherwise(0.0)
     )
 
 
+def spatial_reason(label, seg) -> Column:
+    """How a segment stands to a label."""
+    shared, in_row, under_it = _relations(label, seg)
+    return (
+        F.when(shared, SAME_BLOCK_RELATION)
+        .when(in_row, BESIDE_RELATION)
+        .when(under_it, BELOW_RELATION)
+        .otherwise(FAR_RELATION)
+    )
+
+
 def combined(extraction: Column, spatial: Column, validation: Column) -> Column:
     total = extraction * 0.25 + spatial * 0.35 + validation * 0.40
     both = (validation > 0) & (spatial > 0)
@@ -239,8 +283,11 @@ def score_pairs(runs: DataFrame) -> DataFrame:
         ((F.col("validation") > 0) & (F.col("_spatial") > 0)).alias("accepted"),
         F.array_compact(
             F.array(
-                F.when(F.col("validation") <= 0, "validation failed"),
-                F.when(F.col("_spatial") <= 0, "not spatially aligned with label"),
+                F.when(
+                    F.col("validation") <= 0,
+                    validation_reason(label("entity_type"), F.col("value"), F.col("validation")),
+                ),
+                F.when(F.col("_spatial") <= 0, spatial_reason(label, seg)),
             )
         ).alias("rejection_reasons"),
     )
@@ -323,8 +370,26 @@ def span_of_value(picked: DataFrame, screens: DataFrame) -> DataFrame:
     )
 
 
+def place_of_value() -> Column:
+    """Where a picked value and its label stand, and why they go together."""
+    label, seg = (lambda f: F.col(f"l.{f}")), (lambda f: F.col(f"s.{f}"))
+    relation = F.when(F.col("inferred"), INFERRED_RELATION).otherwise(spatial_reason(label, seg))
+    name = F.when(F.col("inferred"), INFERRED_LABEL).otherwise(label("text"))
+    form = validation_reason(label("entity_type"), F.col("value"), F.col("validation"))
+    return F.struct(
+        name.alias("label"), relation.alias("relation"),
+        F.when(F.col("inferred"), filled(INFERENCE_REASON, name, F.col("value"), F.lit(INFERRED_MAPPING)))
+        .otherwise(filled(ASSOCIATION_REASON, name, F.col("value"), F.concat(relation, F.lit("; "), form)))
+        .alias("reason"),
+        F.array_sort(F.array_distinct(F.array(label("line_index"), seg("line_index")))).alias("line_indices"),
+        F.concat(label("line_text"), F.lit("\n"), seg("line_text")).alias("context_text"),
+        label("block_indices").alias("label_block_indices"), seg("block_indices").alias("value_block_indices"),
+        *[seg(c).alias(c) for c in ("x1", "y1", "x2", "y2")],
+    )
+
+
 def layout_entities(lines: DataFrame, screens: DataFrame) -> DataFrame:
-    """Layout matches in the common match shape, best first, one per type and value."""
+    """Layout matches in the common match shape, best first, one per type and value; ``place`` says where and why."""
     found = _pick(score_pairs(block_runs(lines)), _best_value(), _holder_name())
     placed = span_of_value(found, screens)
     kind = F.when(F.col("inferred"), "ACCOUNT_HOLDER_NAME").otherwise(F.col("l.entity_type"))
@@ -352,6 +417,7 @@ def layout_entities(lines: DataFrame, screens: DataFrame) -> DataFrame:
         F.col("s.confidence").alias("ocr_confidence"), F.lit(True).alias("is_layout"),
         F.col("spatial").alias("spatial_confidence"), F.col("validation").alias("validation_confidence"),
         F.col("l.text").alias("label"), F.col("s.block_indices").alias("value_block_indices"),
+        place_of_value().alias("place"),
     )
 
 

@@ -16,6 +16,7 @@ from veilscan.catalogs import (
     MASKED_TYPES,
     entity_dim,
 )
+from veilscan.functions.regex import let
 from veilscan.functions.tables import explode_rows
 from veilscan.functions.text import compact_value, keyword_hits, normalised_value, quoted, strip, words
 from veilscan.operators.context import (
@@ -43,11 +44,12 @@ LAYOUT_COLUMNS = ["spatial_confidence", "validation_confidence"]
 RAW_COLUMNS = [*MATCH_COLUMNS, "ctx", "ocr_confidence", "is_layout", *LAYOUT_COLUMNS]
 
 
-def scan_text(screens: DataFrame) -> DataFrame:
+def scan_text(screens: DataFrame, context: bool = False) -> DataFrame:
     """The one pass over the text: a narrow row per screen with matches and facts.
 
     ``screens`` may carry ``line_conf`` (per line: sum of block confidences, number of
-    blocks); otherwise a line's confidence is that of its screen.
+    blocks); otherwise a line's confidence is that of its screen.  With ``context`` the row
+    also keeps ``near_lines``: the lines that a match touches and those next to them, each once.
     """
     line_conf = F.col("line_conf") if "line_conf" in screens.columns else None
     keep = [c for c in screens.columns if c not in ("full_text", "line_conf")]
@@ -62,7 +64,33 @@ def scan_text(screens: DataFrame) -> DataFrame:
         **fact_columns(),
         **app_name_columns(),
     }
-    return guarded.withColumn("hits", hits).select(*keep, *[c.alias(n) for n, c in columns.items()])
+    guarded = guarded.withColumn("hits", hits)
+    if not context:
+        return guarded.select(*keep, *[c.alias(n) for n, c in columns.items()])
+    told = guarded.select(*keep, *[c.alias(n) for n, c in columns.items()], "full_text")
+    return told.withColumn("near_lines", near_lines(F.col("full_text"), F.col("found"))).drop("full_text")
+
+
+def near_lines(text: Column, found: Column, window: int = 1) -> Column:
+    """``line_index, text`` of the lines that spans touch, ``window`` more on either side, in order."""
+
+    def around(lines):
+        last = F.size(lines) - 1
+        wanted = F.flatten(
+            F.transform(
+                found,
+                lambda c: F.flatten(
+                    F.transform(
+                        c["spans"],
+                        lambda s: F.sequence(F.greatest(s["line"] - window, F.lit(0)), F.least(s["last_line"] + window, last)),
+                    )
+                ),
+            )
+        )
+        at = F.array_sort(F.array_distinct(wanted))
+        return F.transform(at, lambda i: F.struct(i.alias("line_index"), F.get(lines, i).alias("text")))
+
+    return let(F.split(text, "\n", -1), around)
 
 
 def scanned_matches(scanned: DataFrame, layout: DataFrame | None = None) -> DataFrame:
@@ -89,8 +117,8 @@ def combine_layout(found: DataFrame, layout: DataFrame | None) -> DataFrame:
     )
     if layout is None:
         return flat
-    own = layout.select("screen_id", *RAW_COLUMNS)
-    both = flat.unionByName(own)
+    own = layout.select("screen_id", *RAW_COLUMNS, *[c for c in ("place",) if c in layout.columns])
+    both = flat.unionByName(own, allowMissingColumns=True)
     # A text match of a type the layout already has on this screen gives way.
     has_layout = F.max(F.col("is_layout").cast("int")).over(
         Window.partitionBy("screen_id", "pii_type")
@@ -120,7 +148,8 @@ def candidates(ev: DataFrame) -> DataFrame:
         "ord", "pii_type", "source_rule", "ocr_confidence", "is_layout",
         F.col("spatial_confidence").alias("spatial"),
         F.col("validation_confidence").alias("validation"),
-        "aadhaar_valid", "aadhaar_checksum_valid", "start", "end", "line", "last_line",
+        "aadhaar_valid", "aadhaar_checksum_valid", "start", "end", "line", "last_line", "value",
+        *[c for c in ("place",) if c in ev.columns],
     )
     per_type = ev.groupBy("screen_id", "value_key", "pii_type").agg(
         F.min(item).alias("item"), F.min(F.struct("ord", "value")).alias("first"), F.count("*").alias("n")
@@ -195,7 +224,7 @@ DECISION_JSON = (
 def normalise_decisions(
     json_df: DataFrame, column: str = "payload", max_items: int | None = None, max_reasoning: int | None = None
 ) -> DataFrame:
-    """Decisions from JSON documents: at most 100 per screen, types checked, texts cut."""
+    """Decisions from JSON documents, types checked; ``max_items`` per screen and length of the reasoning on request."""
     parsed = json_df.select("screen_id", F.from_json(column, DECISION_JSON).alias("d"))
     items = F.transform(
         F.slice("d.entity_classifications", 1, max_items) if max_items else F.col("d.entity_classifications"),
@@ -246,7 +275,11 @@ def fused_confidence(ai: Column, deterministic: Column, ocr: Column, layout: Col
 
 
 def _resolved(joined: DataFrame) -> DataFrame:
-    """Entities from candidates with (possibly NULL) ``d_type``, ``d_confidence``, ``d_value``."""
+    """Entities from candidates with (possibly NULL) ``d_type``, ``d_confidence``, ``d_value``, ``d_reasoning``.
+
+    ``origin`` tells what an entity rests on: the evidence of its type and the reasoning of its decision.
+    """
+    evidence_fields = joined.schema["evidence"].dataType.elementType.fieldNames()
     decided = F.col("d_type").isNotNull()
     final = F.coalesce("d_type", "best_type")
     typed = F.coalesce(
@@ -286,6 +319,12 @@ def _resolved(joined: DataFrame) -> DataFrame:
         F.col("typed.end").alias("end"),
         F.col("typed.line").alias("line"),
         F.col("typed.last_line").alias("last_line"),
+        F.struct(
+            F.col("typed.ord.stage").alias("stage"), F.col("typed.pii_type").alias("pii_type"),
+            F.col("typed.value").alias("value"), F.col("typed.source_rule").alias("source_rule"),
+            F.when(decided, F.coalesce("d_reasoning", F.lit(""))).alias("reasoning"), "candidate_types",
+            *([F.col("typed.place").alias("place")] if "place" in evidence_fields else []),
+        ).alias("origin"),
     )
     return with_catalogue(entities)
 
@@ -296,11 +335,13 @@ def resolve_entities(cands: DataFrame, decisions: DataFrame | None = None) -> Da
         joined = cands.select(
             "*", F.lit(None).cast("string").alias("d_type"),
             F.lit(None).cast("double").alias("d_confidence"), F.lit(None).cast("string").alias("d_value"),
+            F.lit(None).cast("string").alias("d_reasoning"),
         )
     else:
         usable = usable_decisions(decisions).select(
             "screen_id", "value_key", F.col("final_type").alias("d_type"),
             F.col("confidence").alias("d_confidence"), F.col("value").alias("d_value"),
+            F.col("reasoning").alias("d_reasoning"),
         )
         joined = cands.join(usable, ["screen_id", "value_key"], "left")
     return _resolved(joined)
@@ -315,6 +356,7 @@ def resolve_with_fallback(cands: DataFrame) -> DataFrame:
             F.when(~F.coalesce(bad, F.lit(False)), F.col("best_type")).alias("d_type"),
             F.when(~F.coalesce(bad, F.lit(False)), rounded(F.col("best_confidence"), 4)).alias("d_confidence"),
             F.col("value").alias("d_value"),
+            F.lit(FALLBACK_REASON).alias("d_reasoning"),
         )
     )
 

@@ -260,6 +260,25 @@ part("cand", "ev", """SELECT screen_id, vkey, arg_min(value, ord) AS value, min(
     count(*) FILTER (WHERE stage < 21) AS regex_n, count(*) FILTER (WHERE stage >= 21) AS context_n FROM ev WHERE vkey <> '' GROUP BY screen_id, vkey""")
 part("best", "ev", """SELECT screen_id, vkey, pii_type, econf, ocr, a_valid, chk FROM (
     SELECT *, row_number() OVER (PARTITION BY screen_id, vkey ORDER BY econf DESC, ord) AS n FROM ev WHERE vkey <> '') WHERE n = 1""")
+part("bestev", "ev", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY screen_id, vkey ORDER BY econf DESC, ord) AS n FROM ev WHERE vkey <> '') WHERE n = 1""")
+# Where a match stands: its lines, and the reason that its rule gives (needs lines).
+PLACED = "md5(ctx) AS context_md5, CAST(l1 AS BIGINT) AS first_line, CAST(l2 AS BIGINT) AS final_line"
+_HELD = (f"list_filter({lst(sorted(c.TRANSACTION_KEYWORDS))}, lambda k: contains(lctx, k)) || "
+         f"CASE WHEN regexp_matches(ctx, {ROW}) THEN [{q(c.ROW_KEYWORD)}] ELSE [] END")
+
+
+def fill(template: str, *values: str) -> str:
+    """The text with its ``{}`` replaced by the expressions, in order."""
+    parts = [q(p) for p in template.split("{}")]
+    return "concat(" + ", ".join([parts[0], *[x for v, p in zip(values, parts[1:]) for x in (v, p)]]) + ")"
+
+
+REASON = ("CASE WHEN stage < 21 THEN " + fill(c.DETECTOR_REASON, "pii_type") + "".join(
+    f" WHEN stage = {n} THEN {q(text)}" for n, text in (
+        (101, c.BALANCE_REASON), (102, c.CUSTOMER_REASON), (104, c.UPI_PATH_REASON), (105, c.LABELLED_REASON),
+        (106, c.HISTORY_REASON), (107, c.NAME_REASON), (108, c.AMOUNT_REASON)))
+    + " ELSE " + fill(c.LINE_REF_REASON, "value", f"array_to_string(list_sort(list_distinct({_HELD})), ', ')",
+                      f"trim((SELECT text FROM lines l WHERE l.screen_id = x.screen_id AND l.line_index = x.l1), {WS})") + " END")
 
 
 def fused(ai: str, det: str, ocr: str) -> str:

@@ -23,6 +23,7 @@ from veilscan.operators import (
     detectors,
     inventory,
     layout,
+    provenance,
     regression,
     resolve,
     ropa,
@@ -33,7 +34,7 @@ from veilscan.operators import (
     verdict,
 )
 from veilscan.plans import oracle as o
-from veilscan.plans.scan import audit, audit_blocks
+from veilscan.plans.scan import Stages, audit, audit_blocks
 from veilscan.sources import baselines, derived, ropa_sink, screens
 from veilscan.streaming import streams
 
@@ -514,10 +515,23 @@ def _(spark, sf):
 
 
 # -- resolution ------------------------------------------------------------------------------------
-@query("res_1_evidence", "SELECT screen_id, pii_type, vkey, econf, ocr AS ocr_confidence FROM ev WHERE vkey <> ''", "ev")
+def _placed(df: DataFrame) -> list:
+    """What the SQL of located rows compares."""
+    return [
+        F.md5(F.col("context_text").cast("binary")).alias("context_md5"), F.array_min("line_indices").cast("long").alias("first_line"),
+        F.array_max("line_indices").cast("long").alias("final_line"), "reason", "document_type",
+    ]
+
+
+@query("res_1_evidence", f"""SELECT screen_id, pii_type, vkey, econf, ocr AS ocr_confidence, {o.PLACED}, {o.REASON} AS reason, document_type
+    FROM ev x JOIN doctype USING (screen_id) WHERE vkey <> ''""", "ev lines doctype")
 def _(spark, sf):
-    return resolve.evidence(raw_matches(spark, sf)).select(
-        "screen_id", "pii_type", F.col("value_key").alias("vkey"), F.col("evidence_confidence").alias("econf"), "ocr_confidence"
+    stages = Stages(spark.conf.get("spark.checkpoint.dir", None))
+    scanned = stages.keep(resolve.scan_text(corpus(spark, sf), context=True), "scanned")
+    found = resolve.evidence(resolve.scanned_matches(scanned))
+    located = provenance.with_provenance(found, provenance.scanned_lines(scanned), provenance.scanned_types(scanned))
+    return located.select(
+        "screen_id", "pii_type", F.col("value_key").alias("vkey"), F.col("evidence_confidence").alias("econf"), "ocr_confidence", *_placed(located)
     )
 
 
@@ -586,6 +600,14 @@ def _(spark, sf):
     )
 
 
+@query("res_7_entity_provenance", f"""SELECT screen_id, entity_rank, pii_type, value, {o.PLACED}, document_type,
+    CASE WHEN decided THEN {o.q(resolve.FALLBACK_REASON)} ELSE reason END AS reason FROM ent
+    JOIN (SELECT screen_id, vkey, ctx, l1, l2, {o.REASON} AS reason FROM bestev x) USING (screen_id, vkey) JOIN doctype USING (screen_id)""", "ent bestev lines doctype")
+def _(spark, sf):
+    located = audit(corpus(spark, sf), folder=spark.conf.get("spark.checkpoint.dir", None), context=True).located()
+    return located.select("screen_id", F.col("entity_rank").cast("long").alias("entity_rank"), "pii_type", "value", *_placed(located))
+
+
 @query("res_7_resolve_without_decisions", "SELECT screen_id, pii_type, value, confidence FROM ent_plain", "ent_plain")
 def _(spark, sf):
     return resolve.resolve_entities(candidate_rows(spark, sf)).select("screen_id", "pii_type", "value", "confidence")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from veilscan.functions.tables import explode_rows
 from veilscan.operators.layout import layout_entities
+from veilscan.operators.provenance import scanned_lines, scanned_types, with_provenance
 from veilscan.operators.resolve import (
     candidates,
     evidence,
@@ -58,6 +59,16 @@ class Audit:
     features: DataFrame
     verdicts: DataFrame
     stages: Stages
+    lines: DataFrame | None = None
+
+    def located(self, max_row: int | None = None) -> DataFrame:
+        """Entities with context, lines, blocks, box, label, reason and document type.
+
+        Needs the lines: an audit of blocks has them, one of texts keeps them with ``context``.
+        """
+        if self.lines is None:
+            raise ValueError("audit(..., context=True) keeps the lines that this needs")
+        return with_provenance(self.entities, self.lines, scanned_types(self.scanned), max_row)
 
     def drop(self) -> None:
         """Delete the tables that the audit has written, once its results are stored."""
@@ -72,23 +83,26 @@ class Audit:
 
 def audit(
     screens: DataFrame, decisions: DataFrame | None = None, layout: DataFrame | None = None,
-    folder: str | None = None, stages: Stages | None = None,
+    folder: str | None = None, stages: Stages | None = None, context: bool = False, lines: DataFrame | None = None,
 ) -> Audit:
     """Entities and verdicts of all screens.
 
     ``decisions`` are external type decisions per value; without them the fallback ones
     are used.  ``layout`` are layout matches of screens that have blocks.  ``folder`` is shared by
-    all executors; the tables written there stay until ``Audit.drop``.
+    all executors; the tables written there stay until ``Audit.drop``.  ``context`` keeps the
+    lines around matches for ``Audit.located``; ``lines`` are those of screens that have blocks.
     """
     stages = stages or Stages(folder)
     keep = stages.keep
-    scanned = keep(scan_text(screens), "scanned")
+    scanned = keep(scan_text(screens, context), "scanned")
+    if context:
+        lines = scanned_lines(scanned)
     cands = candidates(evidence(scanned_matches(scanned, layout)))
     entities = resolve_with_fallback(cands) if decisions is None else resolve_entities(cands, decisions)
     entities = keep(entities, "entities")
-    facts = scanned.drop("found")
+    facts = scanned.drop("found", "near_lines")
     features = rule_features(facts, entities)
-    return Audit(scanned, cands, entities, features, verdict_rows(features), stages)
+    return Audit(scanned, cands, entities, features, verdict_rows(features), stages, lines)
 
 
 def audit_blocks(
@@ -100,4 +114,4 @@ def audit_blocks(
     text = structured_screens(lines)
     own = [c for c in screen_columns.columns if c not in ("full_text", "avg_confidence", "line_conf")]
     screens = screen_columns.select(*own).join(text, "screen_id")
-    return audit(screens, decisions, layout_entities(lines, text), stages=stages)
+    return audit(screens, decisions, layout_entities(lines, text), stages=stages, lines=lines)
